@@ -115,13 +115,14 @@ def test_gradient():
         assert g[i] == pytest.approx((loss(net.theta + step) - loss(net.theta - step)) / 2e-6, abs=1e-5)
 
 
-def test_networks(spark):
-    xs = spark.range(4000).select(
+def test_networks(spark, monkeypatch):
+    monkeypatch.setattr(neural, "WORKER_ROWS", 8000)  # four tasks
+    xs = spark.range(40_000).select(
         F.lit("curr").alias("PERIOD"), F.lit("Commercial").alias("SEGMENT"), F.col("id").cast("string").alias("ACCNTNUM"),
         F.lit("p").alias("POLICYNUM"), F.lit("l").alias("LOCNUM"), F.randn(1).alias("a"), F.randn(2).alias("b"),
     )
     data = durable(xs.withColumn("y", F.col("a") * 0.8 - F.abs("b") * 0.5).repartition(4))
-    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 40)
+    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 25)
     pdf = data.toPandas()
     err = ((net.predict(pdf[["a", "b"]].to_numpy())[:, 0] - pdf["y"]) ** 2).mean() / pdf["y"].var()
     assert err < 0.05
