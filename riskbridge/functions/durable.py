@@ -36,3 +36,14 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/riskbridge-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """As durable, for tables that models pass over many times.
+
+    A small table may come out in fewer files than there are cores; it is then written again, spread
+    by the given columns. A large one has more files than cores and is left alone.
+    """
+    out = durable(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return durable(out.repartition(cores, *by)) if out.rdd.getNumPartitions() < cores else out

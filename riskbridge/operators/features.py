@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskbridge import schema as S
-from riskbridge.functions.durable import durable
+from riskbridge.functions.durable import durable_spread
 from riskbridge.functions.order import quantiles
 from riskbridge.operators.merge import exposed_locations, merge_exposure
 
@@ -45,7 +45,7 @@ def features(loc: DataFrame, pol: DataFrame, period: str | None = S.CURRENT, as_
 def model_rows(loc: DataFrame, pol: DataFrame, period: str | None = S.CURRENT) -> DataFrame:
     """The feature table that models read many times, written once in the shared folder."""
     extra = ["STATE", "BLDGCLASS", "LATITUDE", "LONGITUDE", "STORIES_AREA_INTERACTION"]
-    return durable(features(loc, pol, period).select(*ROW_KEYS, *extra, *RISK_FEATURES).fillna(0.0))
+    return durable_spread(features(loc, pol, period).select(*ROW_KEYS, *extra, *RISK_FEATURES).fillna(0.0), ROW_KEYS)
 
 
 def too_few(rows: DataFrame, least: int = MIN_ROWS) -> bool:

@@ -217,7 +217,9 @@ def queries() -> dict[str, Query]:
         "stress_tests": _on_both(lambda l, p: rounded(stats.stress_tests(l, p), 1, "BASE", "STRESSED", "UPLIFT", MEAN_ROL_BPS=6)),
         "rate_density": _on_landed(lambda l, p: rounded(stats.rate_density(l, p), 6, "BIN_START", "BIN_END")),
         "kernel_density": _on_landed(
-            lambda l, p: stats.kernel_density(merge.exposed_policies(l, p), ["PERIOD"], "RATE_ON_LINE_PCT", "WEIGHT")
+            lambda l, p: rounded(
+                stats.kernel_density(merge.exposed_policies(l, p), ["PERIOD"], "RATE_ON_LINE_PCT", "WEIGHT"), 6, "X", "DENSITY"
+            )
         ),
         "sample_n": _on_landed(_sample),
         "features": _on_landed(_features),
