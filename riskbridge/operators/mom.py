@@ -230,9 +230,9 @@ def top_accounts(loc: DataFrame, pol: DataFrame, n: int = 5, period: str = S.CUR
     values = loc.filter(now).groupBy(*S.ACCOUNT).agg(
         F.count("LOCNUM").alias("_locs"), F.sum("TIV_TOTAL").alias("_tiv"), F.max("TIV_TOTAL").alias("_max")
     )
-    # the segment is no part of the group
+    # an account may have any number of terms; the segment is no part of the group
     totals = (
-        groups.join(values, S.ACCOUNT)
+        attach(groups, values, S.ACCOUNT)
         .groupBy("ACCNTNUM", *terms)
         .agg(
             F.sum(F.col("_n") * F.col("_locs")).alias("TOTAL_LOCATIONS"),

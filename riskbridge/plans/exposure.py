@@ -1,5 +1,6 @@
 """The whole analysis over a catalog of extracts."""
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ class Exposure:
     def load(self) -> "Exposure":
         for name, (raw, table) in load_catalog(self.spark, self.extracts).items():
             self.raw[name], self.tables[name] = raw, register(name, table)
-        root = self.land_at or f"{checkpoint_dir(self.spark)}/riskbridge-landed-{id(self):x}"
+        root = self.land_at or f"{checkpoint_dir(self.spark)}/riskbridge-landed-{uuid.uuid4().hex}"
         self.loc = land(stack(self.extracts, self.tables, "Location"), f"{root}/locations")
         self.pol = land(stack(self.extracts, self.tables, "Policy"), f"{root}/policies")
         return self
