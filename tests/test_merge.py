@@ -98,3 +98,11 @@ def test_one_hot_side(spark, frame, hot):
     few = pol.filter("POLICYNUM = 'same'").limit(1)
     assert merge.merge_exposure(loc, few).count() == 41
     assert merge.merge_exposure(loc.filter("LOCNUM = '1' and ACCNTNUM != 'H'"), pol).count() == 3
+
+
+def test_hot_account_with_many_terms(spark, frame, hot):
+    loc, pol = crowded(frame)
+    split = rows_of(mom.top_accounts(loc, pol, n=20), "TIV_RANK", "ACCNTNUM", "BLANKET_PREMIUM", "AGGREGATE_TIV", "TOTAL_LOCATIONS")
+    spark.conf.set("riskbridge.hotRows", "1000000")
+    plain = rows_of(mom.top_accounts(loc, pol, n=20), "TIV_RANK", "ACCNTNUM", "BLANKET_PREMIUM", "AGGREGATE_TIV", "TOTAL_LOCATIONS")
+    assert split == plain and len(plain) == 13
