@@ -1,6 +1,6 @@
 """Exact order statistics without sorting a column in one task.
 
-Values fall into buckets whose number follows the value order (16,384 per doubling). Bucket totals
+Values fall into buckets whose number follows the value order (4,096 per doubling). Bucket totals
 are a small table, bounded by the range of the values and not by the number of rows, so running
 totals over buckets are cheap; a second pass then looks only into the buckets that matter.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 16_384
+PER_OCTAVE = 4096
 _OFFSET = 1100 * PER_OCTAVE  # above |log2| of any finite double
 
 
