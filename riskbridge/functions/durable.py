@@ -1,49 +1,46 @@
 """Written intermediate results, for plans that are read several times."""
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIR: list[str] = []
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Only a local session may go without: it gets a temporary folder that ends with the process.
-    """
+def shared_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by spark.checkpoint.dir; None in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="riskbridge-"))
-        atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
-    return _LOCAL_DIR[0]
+    return named or None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that all executors share, for files that must be files: the named one, else the warehouse."""
+    return shared_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back.
 
     The result has no lineage to recompute, outlives lost executors, and keeps column pruning and
-    filter pushdown for the passes that follow.
+    filter pushdown for the passes that follow. A local session without such a folder keeps the rows
+    in Spark's own storage instead, with their lineage.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/riskbridge-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/riskbridge-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def durable_spread(df: DataFrame, by: list[str]) -> DataFrame:
+def durable_spread(df: DataFrame, by: list[str], parts: int = 32) -> DataFrame:
     """As durable, for tables that models pass over many times.
 
-    A small table may come out in fewer files than there are cores; it is then written again, spread
-    by the given columns. A large one has more files than cores and is left alone.
+    Rows are dealt by a hash of the given columns over at least `parts` partitions and sorted inside each, so
+    that neither files nor cores decide what a model sees in which order.
     """
-    out = durable(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return durable(out.repartition(cores, *by)) if out.rdd.getNumPartitions() < cores else out
+    spark = df.sparkSession
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) if shared_dir(spark) else 0)
+    return durable(df.repartition(parts, *by).sortWithinPartitions(*by))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskbridge import schema as S
 from riskbridge.functions.columns import table_kind
-from riskbridge.functions.durable import checkpoint_dir, durable
+from riskbridge.functions.durable import scratch_dir, durable
 from riskbridge.functions.order import sample_n
 from riskbridge.operators import clusters, features, forests, merge, mom, neural, profile, stats
 from riskbridge.operators.features import ROW_KEYS
@@ -38,7 +38,7 @@ class Exposure:
     def load(self) -> "Exposure":
         for name, (raw, table) in load_catalog(self.spark, self.extracts).items():
             self.raw[name], self.tables[name] = raw, register(name, table)
-        root = self.land_at or f"{checkpoint_dir(self.spark)}/riskbridge-landed-{uuid.uuid4().hex}"
+        root = self.land_at or f"{scratch_dir(self.spark)}/riskbridge-landed-{uuid.uuid4().hex}"
         self.loc = land(stack(self.extracts, self.tables, "Location"), f"{root}/locations")
         self.pol = land(stack(self.extracts, self.tables, "Policy"), f"{root}/policies")
         return self

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskbridge import schema as S
 from riskbridge.functions.columns import conform, normalize
-from riskbridge.functions.durable import checkpoint_dir, durable
+from riskbridge.functions.durable import scratch_dir, durable
 from riskbridge.functions.order import sample_n
 from riskbridge.functions.scaling import fit_robust, fit_standard, scaled
 from riskbridge.operators import clusters, features, forests, merge, mom, neural, profile, stats
@@ -64,7 +64,7 @@ def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(F.lit("  "), F.col(c), F.lit(" ")) if c in S.TEXT_COLUMNS else F.col(c)
 
     headers = {c: (f" {c.title()}" if i % 2 else f"{c.lower()} ") for i, c in enumerate(S.LOCATION_COLUMNS)}
-    path = f"{checkpoint_dir(spark)}/riskbridge-csv-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/riskbridge-csv-{uuid.uuid4().hex}"
     source.select("PERIOD", *[untidy(c).alias(headers[c]) for c in S.LOCATION_COLUMNS]).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
