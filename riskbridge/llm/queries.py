@@ -4,14 +4,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import decontaminate, exact_dedup
+from riskbridge.llm import bpe, decontaminate, exact_dedup, language_id, simhash
 from riskbridge.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_language": lambda spark, sf: language_id.language_of(table(spark, sf, "documents")),
+        "op5_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
+        "op9_bpe": lambda spark, sf: bpe.token_digests(table(spark, sf, "documents"), vocabulary_path()),
         "op8_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
     }
