@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, language_id, simhash, spans
 from riskbridge.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,7 +21,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def queries() -> dict[str, Query]:
     return {
         "op3_language": lambda spark, sf: language_id.language_of(table(spark, sf, "documents")),
+        "op4_spans": lambda spark, sf: spans.span_digests(table(spark, sf, "documents")),
         "op5_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
+        "op7_columns": lambda spark, sf: columns.byte_digests(table(spark, sf, "documents")),
         "op9_bpe": lambda spark, sf: bpe.token_digests(table(spark, sf, "documents"), vocabulary_path()),
         "op8_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
@@ -41,6 +43,15 @@ def _leads(key: str, rows: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_spans": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+win AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body FROM p),
+first AS (SELECT body, min(doc_id) AS m FROM win WHERE p + 12 <= n GROUP BY body),
+hit AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM win JOIN first USING (body) WHERE p + 12 <= n AND doc_id > m),
+k AS (SELECT p.doc_id, count(*) FILTER (hit.p IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY p.p) FILTER (hit.p IS NULL) AS kept
+    FROM p LEFT JOIN hit ON p.doc_id = hit.doc_id AND p.p = hit.p GROUP BY p.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
         "op8_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
