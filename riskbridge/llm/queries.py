@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, language_id, simhash, spans
+from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, language_id, pii, simhash, spans
 from riskbridge.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_pii": lambda spark, sf: pii.personal_data(table(spark, sf, "documents")),
         "op3_language": lambda spark, sf: language_id.language_of(table(spark, sf, "documents")),
         "op4_spans": lambda spark, sf: spans.span_digests(table(spark, sf, "documents")),
         "op5_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
