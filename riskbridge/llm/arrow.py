@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -20,7 +21,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def per_batch(df: DataFrame, text: str, f: Callable[[pa.Array], dict[str, pa.Array]], schema: str) -> DataFrame:
     """Adds the columns that f makes of each batch's texts; the other columns pass through. schema: of the added ones."""
     kept = [c for c in df.columns if c != text]
-    out = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [schema])
+    out = StructType([df.schema[c] for c in kept] + StructType.fromDDL(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -198,30 +198,35 @@ def _broadcast(docs: DataFrame, path: str):  # noqa: ANN202
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of docs but `text`, with ids (array<bigint>) and decoded of each whole text. Null texts have no tokens."""
-    source = _broadcast(docs, path)
-
-    def run(column: pa.Array) -> dict[str, pa.Array]:
-        v = _vocabulary(source)
-        ids = [v.encode(t or "") for t in column.to_pylist()]
-        return {"ids": pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64())), "decoded": pa.array([v.decode(i).decode() for i in ids], pa.string())}
-
-    return per_batch(docs, "text", run, "ids array<bigint>, decoded string")
+def tokenize(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, and on demand ids (array<int>) and decoded.
 
-
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text; a null text counts as empty."""
+    A null text counts as empty: no tokens, an empty decoded text. Repeated documents get equal rows. Other columns are ignored.
+    """
     source = _broadcast(docs, path)
+    more = {"ids": "array<int>"} if ids else {}
+    more |= {"decoded": "string"} if decoded else {}
 
     def run(column: pa.Array) -> dict[str, pa.Array]:
         v = _vocabulary(source)
-        n, a, b = [], [], []
+        found, told, digest = [], [], []
         for t in column.to_pylist():
-            ids = v.encode(t or "")
-            n.append(len(ids))
-            a.append(sha256(ids.tobytes()).hexdigest())
-            b.append(sha256(v.decode(ids)).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+            found.append(v.encode(t or ""))
+            text = v.decode(found[-1])
+            digest.append((sha256(found[-1].tobytes()).hexdigest(), sha256(text).hexdigest()))
+            if decoded:
+                told.append(text.decode())
+        n = np.array([len(i) for i in found], np.int64)
+        out = {"n_tokens": pa.array(n), "ids_sha256": pa.array([a for a, _ in digest], pa.string()), "decoded_sha256": pa.array([b for _, b in digest], pa.string())}
+        if ids:
+            edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)))
+        return out | ({"decoded": pa.array(told, pa.string())} if decoded else {})
+
+    schema = ", ".join(["n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(f"{k} {t}" for k, t in more.items())])
+    return per_batch(docs.select("doc_id", "text"), "text", run, schema)
 
-    return per_batch(docs.select("doc_id", "text"), "text", run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+def token_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text."""
+    return tokenize(docs, path, ids=False, decoded=False)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskbridge.llm.arrow import per_batch, utf8
+from riskbridge.llm.common import packed
 
 UND = "und"
 DEPTH = 3
@@ -179,3 +180,10 @@ def language_of(docs: DataFrame, per_language: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from documents whose crc32(doc_id) mod 4 is not 2, null ids among them."""
     rows = docs.select("doc_id", "text", "lang", held_out(4, 2).alias("held_out"))
     return identify(rows.drop("lang"), rows.filter("not held_out"), per_language)
+
+
+def with_language(docs: DataFrame, per_language: int = 300) -> DataFrame:
+    """The documents that are in one of the learned languages, with all their columns as they were; `und` ones are rejected."""
+    rows = packed(docs).select("row", F.col("row.text").alias("text"))
+    training = docs.select("doc_id", "text", "lang").filter(~held_out(4, 2))
+    return identify(rows, training, per_language).filter(F.col("lang_pred") != UND).select("row.*")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, language_id, pii, simhash, spans
+from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, html_text, language_id, pii, simhash, spans, toxicity
 from riskbridge.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,10 +20,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html": lambda spark, sf: html_text.extract(table(spark, sf, "pages")),
         "op2_pii": lambda spark, sf: pii.personal_data(table(spark, sf, "documents")),
         "op3_language": lambda spark, sf: language_id.language_of(table(spark, sf, "documents")),
         "op4_spans": lambda spark, sf: spans.span_digests(table(spark, sf, "documents")),
         "op5_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
+        "op6_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op7_columns": lambda spark, sf: columns.byte_digests(table(spark, sf, "documents")),
         "op9_bpe": lambda spark, sf: bpe.token_digests(table(spark, sf, "documents"), vocabulary_path()),
         "op8_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
