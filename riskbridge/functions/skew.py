@@ -62,23 +62,35 @@ def _tiles(rows: DataFrame, own: tuple[str, str], other: tuple[str, str], copies
     )
 
 
-def grid_join(left: DataFrame, right: DataFrame, on: list[str], right_keys: DataFrame | None = None) -> DataFrame:
+def hot_pairs(counts: DataFrame, on: list[str], left: str, right: str) -> DataFrame | None:
+    """Keys with more pairs than a task should make, with the tiles (_lp, _rp) to cut each side into.
+
+    `counts` has one row per key with both sides' numbers of rows. The budget of pairs is ``riskbridge.hotRows`` to
+    the power 1.25 (3·10⁷ by default) or 1/10,000 of all pairs, whichever is larger, so there are at most MAX_HOT such
+    keys; a tile has about a budget of pairs.
+    """
+    spark = counts.sparkSession
+    pairs = counts.select(*on, F.col(left).alias("_l"), F.col(right).alias("_r"), (F.col(left).cast("double") * F.col(right)).alias("_n"))
+    total = pairs.agg(F.sum("_n")).scalar()
+    budget = F.greatest(F.lit(float(spark.conf.get("riskbridge.hotRows", "1000000")) ** 1.25), total / F.lit(float(MAX_HOT)))
+    hot = pairs.withColumn("_tiles", F.col("_n") / budget).filter("_tiles > 1")
+    # tiles as square as the sides allow
+    side = F.ceil(F.sqrt(F.col("_tiles") * F.col("_l") / F.col("_r")))
+    hot = hot.withColumn("_lp", F.greatest(F.lit(1), F.least(side, F.col("_l"), F.ceil(F.col("_tiles")))).cast("int"))
+    hot = hot.withColumn("_rp", F.greatest(F.lit(1), F.least(F.ceil(F.col("_tiles") / F.col("_lp")), F.col("_r"))).cast("int")).select(*on, "_lp", "_rp")
+    found = hot.collect()  # at most MAX_HOT rows
+    return F.broadcast(spark.createDataFrame(found, hot.schema)) if found else None
+
+
+def grid_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, sides: tuple[str, str]) -> DataFrame:
     """Inner many-to-many join; the pairs of a hot key are laid out over a grid of tasks.
 
-    `right_keys` may give the right side's keys from a plainer table with at least the same rows.
+    `counts` has one row per key with the numbers of left and right rows in the columns `sides`.
     """
-    hot_left = hot_keys(left, on, "_lp")
-    hot_right = hot_keys(right if right_keys is None else right_keys, on, "_rp")
-    if hot_left is None and hot_right is None:
+    hot = hot_pairs(counts, on, *sides)
+    if hot is None:
         return left.join(right, on)
     one = F.lit(1)
-    if hot_left is None:
-        hot = hot_right.withColumn("_lp", one)
-    elif hot_right is None:
-        hot = hot_left.withColumn("_rp", one)
-    else:
-        hot = hot_left.join(hot_right, on, "full").fillna(1, ["_lp", "_rp"])
-    hot = F.broadcast(hot.select(*on, "_lp", "_rp"))
     keys = F.broadcast(hot.select(*on))
     cold = left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on)
     pairs = (

@@ -64,10 +64,11 @@ def merge_exposure(loc: DataFrame, pol: DataFrame, drop_blank_keys: bool = False
     """
     if drop_blank_keys:
         loc, pol = loc.filter("ACCNTNUM != ''"), pol.filter("ACCNTNUM != ''")
-    totals = account_rollup(loc, pol).select(*S.ACCOUNT, "ACCOUNT_TIV", "LOC_COUNT")
+    rollup = account_rollup(loc, pol)
+    totals = rollup.select(*S.ACCOUNT, "ACCOUNT_TIV", "LOC_COUNT")
     pol_cols = [c for c in S.MERGED_POLICY_COLUMNS if c not in S.ACCOUNT]
     rich = attach(pol.select(*S.ACCOUNT, *pol_cols), totals, S.ACCOUNT)
-    rows = grid_join(loc.select(*S.ACCOUNT, *S.MERGED_LOCATION_COLUMNS), rich, S.ACCOUNT, right_keys=pol)
+    rows = grid_join(loc.select(*S.ACCOUNT, *S.MERGED_LOCATION_COLUMNS), rich, S.ACCOUNT, rollup, ("LOCS", "POLICIES"))
     return add_ratios(rows).select(
         *S.EXTRACT, *S.MERGED_POLICY_COLUMNS, *S.MERGED_LOCATION_COLUMNS,
         "ACCOUNT_TIV", "LOC_COUNT", "RATE_ON_LINE_PCT", "LIMIT_TO_TIV_RATIO", "TIV_PER_SQFT",

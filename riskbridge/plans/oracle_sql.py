@@ -9,7 +9,6 @@ ord AS (
     CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN 'Commercial' ELSE 'Standard' END AS SEGMENT,
     CAST({account} AS VARCHAR) AS ACCNTNUM
   FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE year(o_orderdate) IN (1999, 2000)
 ),
 pol AS (
   SELECT PERIOD, SEGMENT, ACCNTNUM, c_name AS ACCNTNAME, n_name AS PRODNAME,
@@ -255,7 +254,8 @@ FROM r ORDER BY t DESC, BLANPREAMT, ACCNTNUM LIMIT 5
         "sql_top_accounts_fan_out": f2 + top_accounts,
         "normalize_locations": f2 + f"SELECT PERIOD, SEGMENT, {', '.join(loc_cols)} FROM loc",
         "normalize_policies": f2 + f"SELECT PERIOD, SEGMENT, {', '.join(S.POLICY_COLUMNS)} FROM pol",
-        "csv_roundtrip": f2 + f"SELECT PERIOD, SEGMENT, {', '.join(loc_cols)} FROM loc WHERE SEGMENT = 'Commercial'",
+        "csv_roundtrip": f2 + f"SELECT PERIOD, SEGMENT, {', '.join(loc_cols)} FROM loc",
+        "csv_roundtrip_policies": f2 + f"SELECT PERIOD, SEGMENT, {', '.join(S.POLICY_COLUMNS)} FROM pol",
         "key_integrity": f2
         + """
 , k AS (

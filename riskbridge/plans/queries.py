@@ -3,7 +3,7 @@
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskbridge import schema as S
@@ -53,23 +53,30 @@ def _on_model_rows(op: Callable[[DataFrame], DataFrame], period: str | None = S.
     return _on_landed(lambda l, p: op(model_rows(l, p, period)))
 
 
-def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Commercial locations written as an untidy CSV, read and normalised again."""
-    source = locations(spark, sf).filter(F.col("SEGMENT") == S.COMMERCIAL)
-    junk = F.when(F.col("LOCNUM").endswith("1"), "n/a").when(F.col("LOCNUM").endswith("2"), "1d").otherwise("")
+def _csv_roundtrip(table: Callable[..., DataFrame], columns: list[str]) -> Query:
+    """Rows of both segments and periods written as untidy CSV extracts, read and normalised again."""
 
-    def untidy(c):
+    def untidy(c: str) -> Column:
         if c in S.NUMBER_COLUMNS:
+            turn = F.pmod(F.xxhash64("ACCNTNUM", *{"LOCNUM", "POLICYNUM"}.intersection(columns)), F.lit(3))
+            junk = F.when(turn == 0, "n/a").when(turn == 1, "1d").otherwise("")
             return F.when(F.col(c) == 0, junk).otherwise(F.concat(F.lit(" "), F.col(c).cast("string")))
         return F.concat(F.lit("  "), F.col(c), F.lit(" ")) if c in S.TEXT_COLUMNS else F.col(c)
 
-    headers = {c: (f" {c.title()}" if i % 2 else f"{c.lower()} ") for i, c in enumerate(S.LOCATION_COLUMNS)}
-    path = f"{scratch_dir(spark)}/riskbridge-csv-{uuid.uuid4().hex}"
-    source.select("PERIOD", *[untidy(c).alias(headers[c]) for c in S.LOCATION_COLUMNS]).write.option("header", True).option(
-        "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(path)
-    table = normalize(read_extract(spark, Extract("roundtrip", S.PRIOR, S.COMMERCIAL, path)))
-    return conform(table.withColumn("SEGMENT", F.lit(S.COMMERCIAL)))
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        headers = {c: (f" {c.title()}" if i % 2 else f"{c.lower()} ") for i, c in enumerate(columns)}
+        root = f"{scratch_dir(spark)}/riskbridge-csv-{uuid.uuid4().hex}"
+        out = None
+        for segment in (S.COMMERCIAL, S.STANDARD):
+            path = f"{root}/{segment}"
+            rows = table(spark, sf).filter(F.col("SEGMENT") == segment).select("PERIOD", *[untidy(c).alias(headers[c]) for c in columns])
+            rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+            again = normalize(read_extract(spark, Extract("roundtrip", S.PRIOR, segment, path)))
+            again = conform(again.withColumn("SEGMENT", F.lit(segment)))
+            out = again if out is None else out.unionByName(again)
+        return out
+
+    return query
 
 
 def _key_integrity(loc: DataFrame, pol: DataFrame) -> DataFrame:
@@ -143,7 +150,8 @@ def queries() -> dict[str, Query]:
         "sql_top_accounts_fan_out": _top("customer"),
         "normalize_locations": _on_locations(lambda l: l),
         "normalize_policies": _on_policies(lambda p: p),
-        "csv_roundtrip": _csv_roundtrip,
+        "csv_roundtrip": _csv_roundtrip(locations, S.LOCATION_COLUMNS),
+        "csv_roundtrip_policies": _csv_roundtrip(policies, S.POLICY_COLUMNS),
         "key_integrity": _on_both(_key_integrity),
         "missingness": _on_locations(_missingness),
         "eda_summary": _on_both(

@@ -29,11 +29,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str, account: str) -> DataFrame:
-    """Orders of the two periods with their account, period and segment."""
-    orders = _read(spark, sf_dir, "orders").filter(
-        (F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
-        & (F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
-    )
+    """All orders with their account, period (before 2000, or from then on) and segment."""
+    orders = _read(spark, sf_dir, "orders")
     customer = _read(spark, sf_dir, "customer")
     key = {"order": "o_orderkey", "customer": "o_custkey"}[account]
     return orders.join(customer, orders.o_custkey == customer.c_custkey).withColumns(
