@@ -2,7 +2,7 @@
 
 A page's containers are told by their path of tags and classes, numbers generalised. Every page scores its containers by
 the share of its prose that they hold; the shares are added up per host and path in Spark, and the deepest path that
-nearly all of the host's prose agrees on wins. Pages are then read again by their host's path; a page without it uses
+holds most of the host's prose wins. Pages are then read again by their host's path; a page without it uses
 its own. Menus, notices, adverts, forms, comments and the like never count as prose.
 """
 
@@ -32,7 +32,7 @@ NAMES = set(
     "newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets toolbar skip search outbrain taboola hidden".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-AGREED = 0.8
+AGREED, MAJORITY = 0.8, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -175,9 +175,7 @@ def deepest(held: dict[str, float]) -> str:
 def main_text(html: str, path: str | None) -> str:
     """Blocks inside the host's path, or the page's own path where the host has none or the page doesn't hold it."""
     found = list(blocks(html))
-    for p in (path, None):
-        if p is None:
-            p = deepest(shares(html))
+    for p in ([path] if path else []) + [deepest(shares(html))]:
         inside = [t for q, t, _ in found if q == p or q.startswith(p + "/") or not p]
         if inside:
             return "\n\n".join(inside)
@@ -189,7 +187,7 @@ def _host(url):  # noqa: ANN001, ANN202
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the deepest path that holds nearly all prose over the host's pages. Votes are added up before they are shuffled."""
+    """(host, path): the deepest path that holds most prose over the host's pages. Votes are added up before they are shuffled."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +199,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     added = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"))
     depth = F.size(F.split("path", "/"))
     top = Window.partitionBy("host")
-    agreed = added.withColumn("all", F.max("votes").over(top)).filter(F.col("votes") >= AGREED * F.col("all"))
+    agreed = added.withColumn("all", F.max("votes").over(top)).filter(F.col("votes") >= MAJORITY * F.col("all"))
     best = F.max_by("path", F.struct(depth, "votes", "path"))
     return agreed.groupBy("host").agg(best.alias("path"))
 
