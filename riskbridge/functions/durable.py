@@ -4,6 +4,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -35,12 +36,12 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def durable_spread(df: DataFrame, by: list[str], parts: int = 32) -> DataFrame:
-    """As durable, for tables that models pass over many times.
+def laid_out(df: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt over `parts` partitions by a hash of all their columns, and sorted by it inside each.
 
-    Rows are dealt by a hash of the given columns over at least `parts` partitions and sorted inside each, so
-    that neither files nor cores decide what a model sees in which order.
+    Partitions and their order then depend on the rows alone, not on files, cores or a lost executor. They are kept
+    in Spark's storage, as files read back would be split anew.
     """
-    spark = df.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) if shared_dir(spark) else 0)
-    return durable(df.repartition(parts, *by).sortWithinPartitions(*by))
+    names = df.columns
+    dealt = df.withColumn("_h", F.xxhash64(*names)).repartition(parts, "_h").sortWithinPartitions("_h", *names)
+    return dealt.drop("_h").persist(StorageLevel.MEMORY_AND_DISK)

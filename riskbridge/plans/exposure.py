@@ -112,7 +112,7 @@ class Exposure:
     def statistics(self) -> dict[str, DataFrame]:
         return {
             "tail_risk": stats.tail_risk(self.loc, self.pol),
-            "ep_curve": stats.ep_curve(self.loc, self.pol, points=1000),
+            "ep_curve": stats.ep_curve(self.loc, self.pol),
             "drift_matrix": stats.drift_matrix(self.loc, self.pol),
             "stress": stats.stress_tests(self.loc, self.pol),
             "rate_density": stats.rate_density(self.loc, self.pol),

@@ -115,19 +115,33 @@ def test_gradient():
         assert g[i] == pytest.approx((loss(net.theta + step) - loss(net.theta - step)) / 2e-6, abs=1e-5)
 
 
-def test_networks(spark, monkeypatch):
-    monkeypatch.setattr(neural, "WORKER_ROWS", 8000)  # four tasks
+def test_networks(spark):
     xs = spark.range(40_000).select(
         F.lit("curr").alias("PERIOD"), F.lit("Commercial").alias("SEGMENT"), F.col("id").cast("string").alias("ACCNTNUM"),
         F.lit("p").alias("POLICYNUM"), F.lit("l").alias("LOCNUM"), F.randn(1).alias("a"), F.randn(2).alias("b"),
     )
     data = durable(xs.withColumn("y", F.col("a") * 0.8 - F.abs("b") * 0.5).repartition(4))
-    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 25)
+    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 25, shards=4)
     pdf = data.toPandas()
     err = ((net.predict(pdf[["a", "b"]].to_numpy())[:, 0] - pdf["y"]) ** 2).mean() / pdf["y"].var()
     assert err < 0.05
     again = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 3)
-    assert np.allclose(again.theta, neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 3).theta)
+    # neither files nor Arrow's batches change what is learned
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    other = neural.fit_net(data.repartition(7), ["a", "b"], ["y"], (16, 8), 3)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(again.theta, other.theta)
+
+
+def test_forests_do_not_depend_on_partitions(rows):
+    def flagged(data):
+        found = forests.isolation_forest(data, trees=10, samples=64).filter("ANOMALY_LABEL = -1")
+        return sorted(found.select("ACCNTNUM", "POLICYNUM", "LOCNUM").collect())
+
+    two, seven = rows.repartition(2), rows.repartition(7)
+    assert flagged(two) == flagged(seven)
+    fits = [forests.benchmark_premium(x, trees=3, depth=3).groupBy().agg(F.round(F.sum("BENCHMARK_PREMIUM"), 3)).first() for x in (two, seven)]
+    assert fits[0] == fits[1]
 
 
 def test_neural_operators(rows):
