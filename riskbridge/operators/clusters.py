@@ -119,7 +119,11 @@ def geo_zones(rows: DataFrame, k: int = 6, weighted: bool = False) -> DataFrame:
     means = KMeans(k=k, seed=SEED, featuresCol="_x", predictionCol="_c")
     if weighted:
         means = means.setWeightCol("TIV_TOTAL")
-    found = _by_value(means.fit(data).transform(data), "_c", "GEO_ZONE_ID")
+    return zone_profile(_by_value(means.fit(data).transform(data), "_c", "GEO_ZONE_ID"), rows)
+
+
+def zone_profile(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Size, centre and value of each GEO_ZONE_ID, with its share of the value of all `rows`."""
     whole = rows.agg(F.sum("TIV_TOTAL").alias("t")).scalar()
     return (
         found.groupBy("GEO_ZONE_ID")

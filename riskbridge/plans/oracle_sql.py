@@ -163,6 +163,10 @@ f AS (
   FROM cur, yr
 )
 """
+_FLAGGED = """
+, lim AS (SELECT quantile_cont(TIV_TOTAL, 0.97) AS v FROM cur),
+flagged AS (SELECT cur.*, CASE WHEN TIV_TOTAL >= v THEN -1 ELSE 1 END AS DEEP_ANOMALY_FLAG FROM cur, lim)
+"""
 _MODEL = ["TIV_TOTAL", "BLANPREAMT", "FLOORAREA", "NUMSTORIES", "AGE", "TIV_PER_SQFT", "RATE_ON_LINE_BPS"]
 _ROW = "SEGMENT, ACCNTNUM, POLICYNUM, LOCNUM"
 _DRIFT_COLS = "TIV_TOTAL BLANPREAMT FLOORAREA NUMSTORIES YEARBUILT WSCV4VAL WSCV6VAL RATE_ON_LINE_PCT".split()
@@ -443,6 +447,41 @@ SELECT {_ROW}, TIV_TOTAL, FLOORAREA FROM k ORDER BY h, {_ROW}, TIV_TOTAL, FLOORA
         + _FEATURES
         + f"""SELECT {_ROW}, {", ".join(c for c in _MODEL if c != "RATE_ON_LINE_BPS")}, round(RATE_ON_LINE_BPS, 6) AS RATE_ON_LINE_BPS,
   round(STORIES_AREA_INTERACTION, 6) AS STORIES_AREA_INTERACTION FROM f""",
+        "profiles_by_stories": f2
+        + _FEATURES
+        + """SELECT CAST(NUMSTORIES AS INTEGER) % 5 AS CLUSTER_ID, count(LOCNUM) AS COUNT, round(avg(TIV_TOTAL), 4) AS AVG_TIV, round(avg(BLANPREAMT), 4) AS AVG_PREMIUM,
+  round(avg(FLOORAREA), 4) AS AVG_FLOORAREA, round(avg(NUMSTORIES), 4) AS AVG_STORIES, round(avg(RATE_ON_LINE_BPS), 4) AS AVG_ROL_BPS,
+  CASE CAST(NUMSTORIES AS INTEGER) % 5 WHEN 0 THEN 'High-Value Commercial Mega-Risks' WHEN 1 THEN 'Mid-Market Commercial Real Estate'
+    WHEN 2 THEN 'Light Industrial / Low Stories' WHEN 3 THEN 'Standard Residential High-Volume' ELSE 'Risk Segment' END AS ARCHETYPE
+FROM f GROUP BY 1, 8""",
+        "zones_by_latitude": f2
+        + """SELECT CAST(LATITUDE AS INTEGER) % 6 AS GEO_ZONE_ID, count(LOCNUM) AS LOCATIONS, round(avg(LATITUDE), 4) AS CENTER_LAT, round(avg(LONGITUDE), 4) AS CENTER_LON,
+  round(sum(TIV_TOTAL), 1) AS TOTAL_ZONE_TIV, round(avg(TIV_TOTAL), 4) AS MEAN_LOC_TIV,
+  round(sum(TIV_TOTAL) / (SELECT sum(TIV_TOTAL) FROM cur) * 100, 6) AS ZONE_TIV_SHARE_PCT
+FROM cur WHERE LATITUDE <> 0 AND LONGITUDE <> 0 GROUP BY 1""",
+        "flagged_by_value": f2
+        + _FLAGGED
+        + "SELECT DEEP_ANOMALY_FLAG, count(*) AS ROWS, min(TIV_TOTAL) AS LOWEST, max(TIV_TOTAL) AS HIGHEST FROM flagged GROUP BY 1",
+        "top_by_value": f2
+        + _FLAGGED
+        + """SELECT ACCNTNUM, LOCNUM, STATE, BLDGCLASS, TIV_TOTAL, BLANPREAMT, FLOORAREA, TIV_TOTAL AS AUTOENCODER_MSE
+FROM flagged WHERE DEEP_ANOMALY_FLAG = -1 ORDER BY TIV_TOTAL DESC, PERIOD, SEGMENT, ACCNTNUM, POLICYNUM, LOCNUM LIMIT 5""",
+        "audit_by_value": f2
+        + _FLAGGED
+        + """
+, hits AS (
+  SELECT 'AUTOENCODER' AS METHOD, *, TIV_TOTAL AS SCORE, TIV_TOTAL AS SEVERITY FROM flagged WHERE DEEP_ANOMALY_FLAG = -1
+  UNION ALL SELECT 'ISOLATION_FOREST', *, 48500 - FLOORAREA, FLOORAREA - 48500 FROM flagged WHERE FLOORAREA > 48500
+)
+SELECT METHOD, PERIOD, SEGMENT, ACCNTNUM, POLICYNUM, LOCNUM, STATE, BLDGCLASS, TIV_TOTAL, BLANPREAMT, FLOORAREA, SCORE, SEVERITY FROM hits""",
+        "r2_of_plain_price": f2
+        + "SELECT count(*) AS ROWS, round(1 - sum(pow(BLANPREAMT - (900 + TIV_TOTAL * 0.01::DOUBLE), 2)) / (var_pop(BLANPREAMT) * count(*)), 6) AS R2 FROM cur",
+        "mispricing_of_plain_price": f2
+        + """
+, d AS (SELECT *, 900 + TIV_TOTAL * 0.01::DOUBLE AS p FROM cur), e AS (SELECT *, (BLANPREAMT - p) / p * 100 AS dev FROM d)
+SELECT count(*) AS ROWS, count(*) FILTER (dev < -30) AS UNDERPRICED_ROWS, count(*) FILTER (dev > 30) AS OVERPRICED_ROWS,
+  count(DISTINCT ACCNTNUM) FILTER (dev < -30) AS UNDERPRICED_ACCOUNTS, count(DISTINCT ACCNTNUM) FILTER (dev > 30) AS OVERPRICED_ACCOUNTS,
+  round(1 - sum(pow(BLANPREAMT - p, 2)) / (var_pop(BLANPREAMT) * count(*)), 6) AS R2 FROM e""",
         "standard_scaled": f2 + _FEATURES + f"SELECT {_ROW}, {zscore} FROM f",
         "robust_scaled": f2 + _FEATURES + f", q AS (SELECT {quart} FROM f) SELECT {_ROW}, {robust} FROM f, q",
     }

@@ -109,6 +109,15 @@ def _scaled(fit: Callable) -> Query:
     return _on_model_rows(op)
 
 
+def _flagged(rows: DataFrame) -> DataFrame:
+    return neural.flag_top_pct(rows.withColumn("AUTOENCODER_MSE", F.col("TIV_TOTAL")), "AUTOENCODER_MSE", 0.97, "DEEP_ANOMALY_FLAG")
+
+
+def _plain_price(rows: DataFrame) -> DataFrame:
+    plain = rows.withColumn("PREDICTED", 900 + F.col("TIV_TOTAL") * 0.01)
+    return forests.add_deviation(plain, "BLANPREAMT", "PREDICTED", "RESIDUAL", "DEVIATION")
+
+
 def _top(n_account: str) -> Query:
     return _on_both(lambda l, p: rounded(mom.top_accounts(l, p), 4, "MEAN_LOC_TIV"), n_account)
 
@@ -249,4 +258,28 @@ def queries() -> dict[str, Query]:
         "anomalies": _on_model_rows(lambda r: neural.anomalies(neural.autoencoder_scores(r), forests.isolation_forest(r))),
         "top_anomalies": _on_model_rows(lambda r: neural.top_anomalies(neural.autoencoder_scores(r))),
         "mispricing": _on_model_rows(_priced),
+        # what follows a model, over labels, scores and predictions that SQL can state
+        "profiles_by_stories": _on_model_rows(
+            lambda r: rounded(
+                clusters.cluster_profiles(r.withColumn("CLUSTER_ID", F.col("NUMSTORIES").cast("int") % 5)), 4,
+                "AVG_TIV", "AVG_PREMIUM", "AVG_FLOORAREA", "AVG_STORIES", "AVG_ROL_BPS",
+            )
+        ),
+        "zones_by_latitude": _on_model_rows(
+            lambda r: rounded(
+                clusters.zone_profile(
+                    r.filter("LATITUDE != 0 AND LONGITUDE != 0").withColumn("GEO_ZONE_ID", F.col("LATITUDE").cast("int") % 6), r
+                ),
+                4, "CENTER_LAT", "CENTER_LON", "MEAN_LOC_TIV", TOTAL_ZONE_TIV=1, ZONE_TIV_SHARE_PCT=6,
+            )
+        ),
+        "flagged_by_value": _on_model_rows(lambda r: _flagged(r).groupBy("DEEP_ANOMALY_FLAG").agg(
+            F.count(F.lit(1)).alias("ROWS"), F.min("AUTOENCODER_MSE").alias("LOWEST"), F.max("AUTOENCODER_MSE").alias("HIGHEST")
+        )),
+        "top_by_value": _on_model_rows(lambda r: neural.top_anomalies(_flagged(r))),
+        "audit_by_value": _on_model_rows(lambda r: neural.anomalies(
+            _flagged(r), r.withColumn("ANOMALY_SCORE", 48_500 - F.col("FLOORAREA")).withColumn("ANOMALY_LABEL", F.when(F.col("FLOORAREA") > 48_500, -1).otherwise(1))
+        )),
+        "r2_of_plain_price": _on_model_rows(lambda r: rounded(forests.r2(_plain_price(r), "BLANPREAMT", "PREDICTED"), 6, "R2")),
+        "mispricing_of_plain_price": _on_model_rows(lambda r: rounded(forests.mispricing(_plain_price(r), "PREDICTED", "DEVIATION"), 6, "R2")),
     }
