@@ -63,8 +63,6 @@ def quantiles(
         .withColumn("_slots", F.filter(slot_array, lambda s: (s["rank"] >= below) & (s["rank"] < F.col("_w_upto"))))
         .select(*by, "_b", below.alias("_below"), n.alias("_n"), "_slots")
     )
-    # at most two buckets per probability and group
-    picked = F.broadcast(picked)
     inside = rows.join(picked.select(*by, "_b"), [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.sum("_w").alias("_w"))
     running = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (

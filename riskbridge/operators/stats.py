@@ -241,7 +241,7 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int, weight: str |
     width = (F.col("_hi") - F.col("_lo")) / bins
     number = F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     return (
-        df.join(F.broadcast(limits), by)
+        df.join(limits, by)
         .groupBy(*by, number.alias("BIN"), "_lo", "_hi")
         .agg(F.sum(w).alias("ROWS"))
         .select(

@@ -34,6 +34,7 @@ class Exposure:
         self.tables: dict[str, DataFrame] = {}
         self.loc: DataFrame | None = None
         self.pol: DataFrame | None = None
+        self.results: dict[str, dict[str, DataFrame]] = {}
 
     def load(self) -> "Exposure":
         for name, (raw, table) in load_catalog(self.spark, self.extracts).items():
@@ -130,7 +131,7 @@ class Exposure:
         return {
             "clusters": clustered,
             "cluster_profiles": clusters.cluster_profiles(clustered),
-            "pca": clusters.pca_2d(rows),
+            "pca": clusters.pca_2d(clustered),
             "pca_variance": clusters.pca_variance(rows),
             "silhouette": clusters.silhouette(rows),
             "geo_zones": clusters.geo_zones(rows),
@@ -159,15 +160,17 @@ class Exposure:
             "anomaly_sample": sample_n(
                 models["isolation_forest"].select(*ROW_KEYS, "FLOORAREA", "TIV_TOTAL", "ANOMALY_LABEL"), 5000, ROW_KEYS
             ),
-            "pca_sample": sample_n(models["pca"].select(*ROW_KEYS, "PCA1", "PCA2"), 5000, ROW_KEYS),
+            "pca_sample": sample_n(models["pca"].select(*ROW_KEYS, "CLUSTER_ID", "PCA1", "PCA2"), 5000, ROW_KEYS),
         }
 
     def run(self, out: str) -> dict[str, bool]:
-        """Everything, with the audit files written under `out`; which files were written."""
+        """Everything: all frames by part and name in `results`, and the audit files under `out`; which files were written."""
         self.load()
-        self.profile()
-        self.merge()
         months, figures, models = self.compare(), self.statistics(), self.models()
+        self.results = {
+            "profile": self.profile(), "merge": self.merge(), "months": months, "sql": self.sql_reports(),
+            "statistics": figures, "models": models, "charts": self.charts(models),
+        }
         return {
             "anomalies_audit": write_audit(models["anomalies"], f"{out}/anomalies_audit", skip_empty=True),
             "statistical_drift": write_audit(figures["drift_matrix"], f"{out}/statistical_drift"),

@@ -8,10 +8,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from riskbridge import schema as S
 from riskbridge.functions.columns import conform, na_to_null, normalize, table_kind
 
 
+_BROKEN = "_broken_record"
+
+
 @dataclass(frozen=True)
 class Extract:
     """One schedule of one month and segment. `path` may be a file, a folder or a pattern."""
@@ -30,18 +35,27 @@ class Extract:
 def read_extract(spark: SparkSession, extract: Extract) -> DataFrame:
     """All columns as text under the file's own header, NA texts as null.
 
-    `multi_line` allows line breaks inside quotes, at the price of one task per file.
+    `multi_line` allows line breaks inside quotes, at the price of one task per file; without it such a break makes two
+    short rows. Fields that a short row lacks are null. A row with more fields than the header is an error when it is read.
     """
+    options = {
+        "header": True, "inferSchema": False, "encoding": extract.encoding, "quote": '"', "escape": '"',
+        "multiLine": extract.multi_line, "enforceSchema": False,
+    }
     try:
-        raw = spark.read.csv(
-            extract.path, header=True, inferSchema=False, encoding=extract.encoding, quote='"', escape='"',
-            multiLine=extract.multi_line, enforceSchema=False,
-        )
+        names = spark.read.csv(extract.path, **options).columns
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"extract '{extract.name}' not found: {extract.path}") from e
         raise
-    return na_to_null(raw)
+    if not names:
+        return na_to_null(spark.read.csv(extract.path, **options))
+    schema = StructType([StructField(n, StringType()) for n in [*names, _BROKEN]])
+    raw = spark.read.csv(extract.path, schema=schema, columnNameOfCorruptRecord=_BROKEN, **options)
+    commas = F.length(F.regexp_replace(F.regexp_replace(_BROKEN, r'"[^"]*+"', ""), "[^,]", ""))
+    told = F.concat(F.lit(f"extract '{extract.name}' has a row with more fields than its header: "), F.substring(_BROKEN, 1, 200))
+    first = F.when(commas >= len(names), F.raise_error(told)).otherwise(F.col(f"`{names[0]}`"))
+    return na_to_null(raw.select(first.alias(names[0]), *[F.col(f"`{n}`") for n in names[1:]]))
 
 
 def load_catalog(spark: SparkSession, extracts: Iterable[Extract]) -> dict[str, tuple[DataFrame, DataFrame]]:

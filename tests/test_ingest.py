@@ -83,3 +83,21 @@ def test_catalog_and_audit(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 1
     assert not write_audit(tables["pol"].limit(0), str(tmp_path / "none"), skip_empty=True)
     assert not (tmp_path / "none").exists()
+
+
+def test_rows_of_odd_length(spark, tmp_path):
+    """A short row ends in nulls; a quoted comma is no field; a row with surplus fields is an error."""
+    path = tmp_path / "odd.csv"
+    path.write_text('ACCNTNUM,LOCNUM,NOTE\n1,2\n3,4,"a, b"\n5,6,"say ""x, y"""\n')
+    extract = Extract("odd", "prior", "Commercial", str(path))
+    assert [tuple(r) for r in read_extract(spark, extract).collect()] == [("1", "2", None), ("3", "4", "a, b"), ("5", "6", 'say "x, y"')]
+    path.write_text("ACCNTNUM,LOCNUM,NOTE\n1,2,3\n1,2,3,4\n")
+    with pytest.raises(Exception, match="more fields than its header"):
+        read_extract(spark, Extract("odd", "prior", "Commercial", str(path))).collect()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('ACCNTNUM,NOTE\n1,"a\nb"\n')
+    rows = read_extract(spark, Extract("lines", "prior", "Commercial", str(path), multi_line=True)).collect()
+    assert [tuple(r) for r in rows] == [("1", "a\nb")]

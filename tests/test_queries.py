@@ -60,4 +60,8 @@ def test_whole_analysis(spark, tmp_path):
     assert rows and all(report[r.LOBNAME].CURR_TIV == pytest.approx(r.t) and report[r.LOBNAME].CURR_LOCATIONS == r.n for r in rows)
     assert book.sql("SELECT * FROM drift_state_mom").count() > 0 and book.sql("SELECT * FROM curr_std_loc").count() > 0
     summary = book.profile()["summary"].collect()
+    assert set(book.results) == {"profile", "merge", "months", "sql", "statistics", "models", "charts"}
+    curve = book.results["statistics"]["ep_curve"]
+    assert curve.count() == curve.select("TIV_TOTAL").distinct().count() > 1000
+    assert "CLUSTER_ID" in book.results["charts"]["pca_sample"].columns
     assert len(summary) == 8 and {r.COLS for r in summary} == {53, 13}
