@@ -98,8 +98,8 @@ def _drift(key: str) -> str:
     return f"""
 , a AS (SELECT {key}, sum(TIV_TOTAL) AS t, count(LOCNUM) AS n FROM m WHERE PERIOD = 'prior' GROUP BY 1),
 b AS (SELECT {key}, sum(TIV_TOTAL) AS t, count(LOCNUM) AS n FROM cur GROUP BY 1)
-SELECT {key}, round(coalesce(a.t, 0), 4) AS PRIOR_TIV, coalesce(a.n, 0) AS PRIOR_LOCS, round(coalesce(b.t, 0), 4) AS CURR_TIV,
-  coalesce(b.n, 0) AS CURR_LOCS, round(coalesce(b.t, 0) - coalesce(a.t, 0), 4) AS TIV_DELTA,
+SELECT {key}, round(coalesce(a.t, 0), 1) AS PRIOR_TIV, coalesce(a.n, 0) AS PRIOR_LOCS, round(coalesce(b.t, 0), 1) AS CURR_TIV,
+  coalesce(b.n, 0) AS CURR_LOCS, round(coalesce(b.t, 0) - coalesce(a.t, 0), 1) AS TIV_DELTA,
   round(CASE WHEN a.t > 0 THEN (coalesce(b.t, 0) - a.t) / a.t * 100 ELSE 0 END, 6) AS TIV_GROWTH_PCT,
   coalesce(b.n, 0) - coalesce(a.n, 0) AS LOC_DELTA
 FROM a FULL JOIN b USING ({key})
@@ -109,9 +109,9 @@ FROM a FULL JOIN b USING ({key})
 def _waterfall(measure: str) -> str:
     return _MOVES + f"""
 , s AS (
-  SELECT sum(PRIOR_{measure}) AS BASELINE, -sum(PRIOR_{measure}) FILTER (CURR_TIV IS NULL) AS LAPSED,
-    sum(CURR_{measure}) FILTER (PRIOR_TIV IS NULL) AS NEW,
-    sum(CURR_{measure} - PRIOR_{measure}) FILTER (PRIOR_TIV IS NOT NULL AND CURR_TIV IS NOT NULL) AS RETAINED_DRIFT,
+  SELECT sum(PRIOR_{measure}) AS BASELINE, -coalesce(sum(PRIOR_{measure}) FILTER (CURR_TIV IS NULL), 0) AS LAPSED,
+    coalesce(sum(CURR_{measure}) FILTER (PRIOR_TIV IS NULL), 0) AS NEW,
+    coalesce(sum(CURR_{measure} - PRIOR_{measure}) FILTER (PRIOR_TIV IS NOT NULL AND CURR_TIV IS NOT NULL), 0) AS RETAINED_DRIFT,
     sum(CURR_{measure}) AS ENDING
   FROM mv
 ), u AS (SELECT *, ENDING - BASELINE AS NET_CHANGE, (ENDING - BASELINE) / BASELINE * 100 AS NET_CHANGE_PCT FROM s)
@@ -127,7 +127,7 @@ def _lob(join: str) -> str:
 b AS (SELECT LOBNAME, count(DISTINCT ACCNTNUM) AS acc, count(LOCNUM) AS n, sum(TIV_TOTAL) AS t, sum(BLANPREAMT) AS pr
   FROM cur GROUP BY 1)
 SELECT coalesce(b.LOBNAME, a.LOBNAME) AS LINE_OF_BUSINESS, a.acc AS PRIOR_ACCOUNTS, b.acc AS CURR_ACCOUNTS,
-  a.n AS PRIOR_LOCATIONS, b.n AS CURR_LOCATIONS, b.n - a.n AS LOC_DELTA, round(a.t, 4) AS PRIOR_TIV, round(b.t, 4) AS CURR_TIV,
+  a.n AS PRIOR_LOCATIONS, b.n AS CURR_LOCATIONS, b.n - a.n AS LOC_DELTA, round(a.t, 1) AS PRIOR_TIV, round(b.t, 1) AS CURR_TIV,
   round(a.pr, 4) AS PRIOR_PREMIUM, round(b.pr, 4) AS CURR_PREMIUM, round(b.t - a.t, 0) AS TIV_DELTA,
   round((b.t - a.t) / nullif(a.t, 0) * 100, 2) AS TIV_GROWTH_PCT
 FROM b {join} JOIN a ON a.LOBNAME = b.LOBNAME
@@ -315,7 +315,7 @@ SELECT {ds}, count(*) AS ROWS, count(*) FILTER (ok) AS VALID_COORDINATES, round(
         "merge_exposure": f2
         + f"""SELECT {merged_plain}, round(ACCOUNT_TIV, 4) AS ACCOUNT_TIV, LOC_COUNT, round(RATE_ON_LINE_PCT, 6) AS RATE_ON_LINE_PCT,
   round(LIMIT_TO_TIV_RATIO, 6) AS LIMIT_TO_TIV_RATIO, TIV_PER_SQFT FROM m""",
-        "portfolio": f2 + f"SELECT {ds}, count(*) AS MERGED_ROWS, round(sum(TIV_TOTAL), 4) AS TIV_TOTAL FROM m GROUP BY ALL",
+        "portfolio": f2 + f"SELECT {ds}, count(*) AS MERGED_ROWS, round(sum(TIV_TOTAL), 0) AS TIV_TOTAL FROM m GROUP BY ALL",
         "account_sets": f2
         + f"""
 SELECT PERIOD, SEGMENT, ACCNTNUM, 'COMMON' AS MEMBERSHIP FROM (SELECT {ds}, ACCNTNUM FROM loc INTERSECT SELECT {ds}, ACCNTNUM FROM pol)
@@ -349,7 +349,7 @@ FROM h GROUP BY ALL""",
         "valuation_flags": f2
         + """
 SELECT PERIOD, SEGMENT, CASE WHEN FLOORAREA <= 0 THEN 'NO AREA' WHEN TIV_PER_SQFT < 50 THEN 'LOW' WHEN TIV_PER_SQFT > 1500 THEN 'HIGH'
-  ELSE 'NORMAL' END AS VALUATION, count(*) AS ROWS, round(sum(TIV_TOTAL), 4) AS TIV FROM m GROUP BY ALL""",
+  ELSE 'NORMAL' END AS VALUATION, count(*) AS ROWS, round(sum(TIV_TOTAL), 1) AS TIV FROM m GROUP BY ALL""",
         "rate_on_limit": f2
         + """SELECT PERIOD, SEGMENT, ACCNTNUM, POLICYNUM, BLANPREAMT, BLANLIMAMT,
   round(CASE WHEN BLANLIMAMT > 0 THEN BLANPREAMT / BLANLIMAMT * 100 ELSE 0 END, 6) AS RATE_ON_LIMIT_PCT FROM pol""",
@@ -366,7 +366,7 @@ FROM t JOIN (SELECT PERIOD, ACCNTNUM, POLICYNUM, BLANPREAMT, BLANLIMAMT FROM fir
         + f""", kd AS (SELECT PERIOD, {", ".join(f"{n}::DOUBLE AS {n}" for n in names)} FROM k),
 u AS (UNPIVOT kd ON {", ".join(names)} INTO NAME KPI VALUE v),
 w AS (SELECT KPI, max(v) FILTER (PERIOD = 'prior') AS p, max(v) FILTER (PERIOD = 'curr') AS c FROM u GROUP BY 1)
-SELECT KPI, round(p, 1) AS PRIOR_VALUE, round(c, 1) AS CURRENT_VALUE, round(c - p, 1) AS DELTA,
+SELECT KPI, round(p, 0) AS PRIOR_VALUE, round(c, 0) AS CURRENT_VALUE, round(c - p, 0) AS DELTA,
   round(CASE WHEN p <> 0 THEN (c - p) / p * 100 ELSE 0 END, 6) AS GROWTH_PCT FROM w""",
         "rollforward": f2
         + _MOVES

@@ -26,7 +26,8 @@ def rounded(df: DataFrame, digits: int, *cols: str, **special: int) -> DataFrame
     """Round the named columns; keyword arguments give other digits.
 
     Amounts have four decimals, so their sums are rounded to four: at fewer, a sum can lie on a
-    rounding edge and the order of addition decides. Whole-portfolio sums are rounded to one.
+    rounding edge and the order of addition decides. Sums over large parts of the portfolio, from 10⁹ on, where
+    doubles no longer hold four decimals, are rounded to one or none.
     """
     plan = {c: digits for c in cols} | special
     return df.withColumns({c: F.round(c, d) for c, d in plan.items()})
@@ -124,14 +125,14 @@ def _top(n_account: str) -> Query:
 
 def _drift(key: str) -> Query:
     return _on_both(
-        lambda l, p: rounded(mom.exposure_drift(l, p, key), 4, "PRIOR_TIV", "CURR_TIV", "TIV_DELTA", TIV_GROWTH_PCT=6)
+        lambda l, p: rounded(mom.exposure_drift(l, p, key), 1, "PRIOR_TIV", "CURR_TIV", "TIV_DELTA", TIV_GROWTH_PCT=6)
     )
 
 
 def _lob(keep_lapsed: bool) -> Query:
     return _on_both(
         lambda l, p: rounded(
-            mom.lob_rollforward(l, p, keep_lapsed), 4, "PRIOR_TIV", "CURR_TIV", "PRIOR_PREMIUM", "CURR_PREMIUM", TIV_DELTA=0
+            mom.lob_rollforward(l, p, keep_lapsed), 4, "PRIOR_PREMIUM", "CURR_PREMIUM", PRIOR_TIV=1, CURR_TIV=1, TIV_DELTA=0
         )
     )
 
@@ -188,7 +189,7 @@ def queries() -> dict[str, Query]:
         "merge_exposure": _on_landed(
             lambda l, p: rounded(merge.merge_exposure(l, p), 6, "RATE_ON_LINE_PCT", "LIMIT_TO_TIV_RATIO", ACCOUNT_TIV=4)
         ),
-        "portfolio": _on_landed(lambda l, p: rounded(merge.portfolio(merge.merge_exposure(l, p)), 4, "TIV_TOTAL")),
+        "portfolio": _on_landed(lambda l, p: rounded(merge.portfolio(merge.merge_exposure(l, p)), 0, "TIV_TOTAL")),
         "account_sets": _on_both(merge.account_sets),
         "match_diagnostics": _on_both(
             lambda l, p: rounded(merge.match_diagnostics(l, p), 6, "POLICY_MATCH_PCT", "LOCATION_MATCH_PCT")
@@ -200,7 +201,7 @@ def queries() -> dict[str, Query]:
             )
         ),
         "hhi": _on_both(lambda l, p: rounded(merge.hhi(l, p), 4, "HHI", TOP_SHARE_PCT=6)),
-        "valuation_flags": _on_both(lambda l, p: rounded(merge.valuation_flags(l, p), 4, "TIV")),
+        "valuation_flags": _on_both(lambda l, p: rounded(merge.valuation_flags(l, p), 1, "TIV")),
         "rate_on_limit": _on_policies(
             lambda p: rounded(merge.rate_on_limit(p), 6, "RATE_ON_LIMIT_PCT").select(
                 *S.ACCOUNT, "POLICYNUM", "BLANPREAMT", "BLANLIMAMT", "RATE_ON_LIMIT_PCT"
@@ -209,7 +210,7 @@ def queries() -> dict[str, Query]:
         "account_first": _on_both(lambda l, p: rounded(mom.account_first(l, p), 4, "TIV")),
         "kpis": _on_landed(_kpis),
         "kpi_comparison": _on_landed(
-            lambda l, p: rounded(mom.kpi_comparison(l, p), 1, "PRIOR_VALUE", "CURRENT_VALUE", "DELTA", GROWTH_PCT=6)
+            lambda l, p: rounded(mom.kpi_comparison(l, p), 0, "PRIOR_VALUE", "CURRENT_VALUE", "DELTA", GROWTH_PCT=6)
         ),
         "rollforward": _on_both(lambda l, p: rounded(mom.rollforward(l, p), 6, "CHURN_PCT", "RETENTION_PCT", "INFLOW_PCT")),
         "waterfall_tiv": _waterfall("TIV"),
