@@ -27,7 +27,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = (1 << 24) - 1  # low bits of a packed hash hold the gram's place in the chunk
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
 
 
@@ -97,6 +97,26 @@ def unpack(b: bytes) -> dict:
     return pickle.loads(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True))  # noqa: S301  written by pack
 
 
+def _later(u: Units, h: np.ndarray, ids: np.ndarray, place: np.ndarray, lo: np.ndarray, size: np.ndarray, by_place: bool) -> np.ndarray:
+    """Which strings of a chunk also stand earlier in it. Equal hashes are compared byte by byte."""
+    order = np.lexsort((place, ids, h))
+    head = np.ones(len(order), bool)
+    head[1:] = h[order][1:] != h[order][:-1]
+    of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]  # each one's first of equal hash
+    later = ids[order] > ids[of]
+    if by_place:
+        later |= (ids[order] == ids[of]) & (place[order] > place[of])
+    later &= size[order] == size[of]
+    twin = np.flatnonzero(later)
+    if len(twin):
+        n = size[order[twin]]
+        differ = gathered(u.buffer, lo[order[twin]], n) != gathered(u.buffer, lo[of[twin]], n)
+        later[twin] &= ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    out = np.zeros(len(order), bool)
+    out[order] = later
+    return out
+
+
 def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterator[tuple[int, dict]]:
     """Payloads by bucket for the windows that start at units lo to hi."""
     w, k = plan.window, plan.gram
@@ -120,21 +140,8 @@ def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterat
     t = text[begin]
     b_lo, b_size = u.lo[lo + begin], u.hi[lo + last - 1] - u.lo[lo + begin]
     place = lo + begin - u.first[t]
-    order = np.lexsort((place, ids[t], whole))
-    head = np.ones(len(order), bool)
-    head[1:] = whole[order][1:] != whole[order][:-1]
-    of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]  # each one's first of equal hash, in order
-    same = (b_size[order] == b_size[of]) & (at[begin][order] - begin[order] == at[begin][of] - begin[of])
-    twin = np.flatnonzero(same & (order != of))
-    if len(twin):  # equal hashes are compared byte by byte
-        size = b_size[order[twin]]
-        differ = gathered(u.buffer, b_lo[order[twin]], size) != gathered(u.buffer, b_lo[of[twin]], size)
-        same[twin] &= ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
-    later = ids[t[order]] > ids[t[of]]
-    if plan.by_place:
-        later |= (ids[t[order]] == ids[t[of]]) & (place[order] > place[of])
-    marked = order[same & later & (order != of)]
-    sent = np.sort(order[~(same & later & (order != of))])
+    later = _later(u, whole ^ mixed((at[begin] - begin).astype(U)), ids[t], place, b_lo, b_size, plan.by_place)
+    marked, sent = np.flatnonzero(later), np.flatnonzero(~later)
     bucket = (anchor % U(plan.buckets)).astype(np.int64)
     kinds, which, many = np.unique(anchor[sent], return_inverse=True, return_counts=True)
     crowded = many[which] > plan.crowd
@@ -149,20 +156,29 @@ def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterat
             bring.setdefault(int(key[part[0]]), {})[name] = make(rows[part])
 
     share("passages", sent, bucket[sent], lambda r: {
-        "anchor": anchor[r], "left": (at[begin[r]] - begin[r]).astype(np.int16), "count": count[r].astype(np.int16), "size": b_size[r].astype(np.int32),
+        "anchor": (anchor[r] >> U(32)).astype(np.uint32), "left": (at[begin[r]] - begin[r]).astype(np.int16), "count": count[r].astype(np.int16), "size": b_size[r].astype(np.int32),
         "bytes": gathered(u.buffer, b_lo[r], b_size[r]).tobytes(), "text": t[r].astype(np.int32), "place": place[r],
     })
-    share("notices", np.flatnonzero(many > plan.crowd), (kinds[many > plan.crowd] % U(plan.buckets)).astype(np.int64), lambda r: kinds[r])
+    share("notices", np.flatnonzero(many > plan.crowd), (kinds[many > plan.crowd] % U(plan.buckets)).astype(np.int64), lambda r: (kinds[r] >> U(32)).astype(np.uint32))
     share("marked", marked, t[marked] % plan.buckets, lambda r: {"text": t[r].astype(np.int32), "place": place[r], "count": count[r]})
-    of_loose = np.repeat(loose, count[loose])
-    step = np.arange(len(of_loose)) - np.repeat(np.cumsum(count[loose]) - count[loose], count[loose])
-    start = begin[of_loose] + step
+    of = np.repeat(loose, count[loose])
+    step = np.arange(len(of)) - np.repeat(np.cumsum(count[loose]) - count[loose], count[loose])
+    start, where = begin[of] + step, place[of] + step
+    w_lo, w_hi = u.lo[lo + start], u.hi[lo + start + w - 1]
+    later = _later(u, hashes.of(start, start + w), ids[t[of]], where, w_lo, w_hi - w_lo, plan.by_place)
+    again, fresh = np.flatnonzero(later), np.flatnonzero(~later)
+    if len(again):  # those that follow each other are one run
+        again = again[np.lexsort((where[again], t[of[again]]))]
+        head = np.ones(len(again), bool)
+        head[1:] = (np.diff(t[of[again]]) != 0) | (np.diff(where[again]) != 1)
+        heads = np.flatnonzero(head)
+        runs, size = again[heads], np.diff(np.append(heads, len(again)))
+        share("again", np.arange(len(runs)), t[of[runs]] % plan.buckets, lambda r: {"text": t[of[runs[r]]].astype(np.int32), "place": where[runs[r]], "count": size[r]})
 
     def windows(r: np.ndarray) -> dict:
-        a, b = u.lo[lo + start[r]], u.hi[lo + start[r] + w - 1]
-        return {"text": t[of_loose[r]].astype(np.int32), "place": place[of_loose[r]] + step[r], "window": [u.buffer[i:j].tobytes() for i, j in zip(a, b, strict=True)]}
+        return {"text": t[of[r]].astype(np.int32), "place": where[r], "window": [u.buffer[i:j].tobytes() for i, j in zip(w_lo[r], w_hi[r], strict=True)]}
 
-    share("windows", np.arange(len(of_loose)), of_loose % plan.buckets, windows)
+    share("windows", fresh, of[fresh] % plan.buckets, windows)
     yield from bring.items()
 
 
@@ -187,13 +203,13 @@ def _sent(units: Callable[[np.ndarray, np.ndarray], Units], plan: Plan) -> Calla
     return run
 
 
-_FOUND = "id bigint, key bigint, place bigint, count bigint, window binary"
+_FOUND = "id bigint, key int, place bigint, count bigint, window binary"
 
 
 def _found(compare: Callable[[dict, Plan], list[np.ndarray]], plan: Plan) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         payloads = [unpack(p.as_py()) for p in table.column("payload")]
-        marked = [p["marked"] for p in payloads if "marked" in p]
+        marked = [p[c] for p in payloads for c in ("marked", "again") if c in p]
         loose = [p["windows"] for p in payloads if "windows" in p]
         out = [[np.concatenate([m[c] for m in marked]) if marked else np.zeros(0, np.int64) for c in ("id", "key", "place", "count")]]
         sent = [p["passages"] for p in payloads if "passages" in p]
@@ -203,7 +219,7 @@ def _found(compare: Callable[[dict, Plan], list[np.ndarray]], plan: Plan) -> Cal
             rows = {c: np.concatenate([p[c] for p in sent]) for c in sent[0] if c != "bytes"}
             rows["at"] = np.cumsum(rows["size"].astype(np.int64)) - rows["size"]
             _, which, many = np.unique(rows["anchor"], return_inverse=True, return_counts=True)
-            notices = np.concatenate([p["notices"] for p in payloads if "notices" in p] or [np.zeros(0, U)])
+            notices = np.concatenate([p["notices"] for p in payloads if "notices" in p] or [np.zeros(0, np.uint32)])
             crowded = np.isin(rows["anchor"], notices)
             take = {c: v[(many[which] > 1) & ~crowded] for c, v in rows.items()}
             if len(take["id"]):
@@ -211,10 +227,18 @@ def _found(compare: Callable[[dict, Plan], list[np.ndarray]], plan: Plan) -> Cal
             for i in np.flatnonzero(crowded):
                 passage = whole[rows["at"][i] : rows["at"][i] + rows["size"][i]].tobytes()
                 windows += [(rows["id"][i], rows["key"][i], rows["place"][i] + j, x) for j, x in enumerate(plan_windows(passage, plan, int(rows["count"][i])))]
+        first, again, ties = {}, [], []
+        for row in sorted(windows, key=lambda r: (r[0], r[2])):
+            held = first.setdefault(row[3], row)
+            if held[0] < row[0] or (plan.by_place and held[0] == row[0] and held[2] < row[2]):
+                again.append((*row[:3], 1))
+            elif held is not row:
+                ties.append(row)
+        out.append(list(np.array(again, np.int64).reshape(-1, 4).T))
         i, k, at, n = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
-        more = list(zip(*windows, strict=True)) or [[], [], [], []]
+        more = list(zip(*first.values(), *ties, strict=True)) or [[], [], [], []]
         return pa.table({
-            "id": np.concatenate([i, np.array(more[0], np.int64)]), "key": np.concatenate([k, np.array(more[1], np.int64)]),
+            "id": np.concatenate([i, np.array(more[0], np.int64)]), "key": np.concatenate([k, np.array(more[1], np.int64)]).astype(np.int32),
             "place": np.concatenate([at, np.array(more[2], np.int64)]), "count": np.concatenate([n, np.ones(len(more[0]), np.int64)]),
             "window": pa.array([None] * len(i) + list(more[3]), pa.binary()),
         })
@@ -230,7 +254,8 @@ def plan_windows(passage: bytes, plan: Plan, count: int) -> list[bytes]:
 
 
 def text_key() -> Column:
-    return F.xxhash64(text_of())
+    """Tells rows apart that share an id but not the text."""
+    return F.hash(text_of())
 
 
 def repeated_windows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], compare: Callable[[dict, Plan], list[np.ndarray]], window: int, gram: int, by_place: bool, crowd: int = 48) -> DataFrame:
