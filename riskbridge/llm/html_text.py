@@ -1,8 +1,8 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-A page's containers are told by their path of tags and classes, numbers generalised. Every page scores its containers by
-the share of its prose that they hold; the shares are added up per host and path in Spark, and the deepest path that
-holds most of the host's prose wins. Pages are then read again by their host's path; a page without it uses
+A page's containers are told by their path of tags and classes, numbers generalised. Every page scores those containers
+outside which it has no prose, only stray lines; the shares are added up per host and path in Spark, and the deepest path that
+has most of the host's votes wins. Pages are then read again by their host's path; a page with prose outside it uses
 its own. Menus, notices, adverts, forms, comments and the like never count as prose.
 """
 
@@ -33,6 +33,8 @@ NAMES = set(
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 AGREED, MAJORITY = 0.8, 0.5
+STRAY = 40  # text outside links from which a line is prose wherever it stands
+_KEPT = re.compile(r"/(?:article|main|ul|ol|dl|table)(?=[./]|\Z)")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -65,23 +67,23 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(named & NAMES) and not (in_article and named & NAMES <= {"header", "side", "foot", "bottom"})
 
 
-def blocks(html: str) -> Iterator[tuple[str, str, int]]:
-    """(container path, text, characters inside links) of each block of text that may be prose, in page order."""
+def blocks(html: str) -> Iterator[tuple[str, str, int, bool]]:
+    """(container path, text, characters inside links, in a heading of the first two ranks) of each block of text that may be prose, in page order."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path of containers, dropped, in an article
     text: list[str] = []
     linked = links = 0
     at = 0
 
-    def flush() -> Iterator[tuple[str, str, int]]:
+    def flush() -> Iterator[tuple[str, str, int, bool]]:
         nonlocal linked
         if text:
             whole = _BLANK.sub(" ", unescape("".join(text))).strip()
             text.clear()
             if whole:
-                yield stack[-1][1], whole, linked
+                yield stack[-1][1], whole, linked, any(x[0] in ("h1", "h2") for x in stack)
         linked = 0
 
-    def close(to: int) -> Iterator[tuple[str, str, int]]:
+    def close(to: int) -> Iterator[tuple[str, str, int, bool]]:
         nonlocal links
         while len(stack) > to:
             if stack[-1][0] in BLOCKS:
@@ -155,31 +157,34 @@ def prefixes(path: str) -> list[str]:
     return ["/".join(parts[: i + 1]) for i in range(len(parts))]
 
 
-def shares(html: str) -> dict[str, float]:
-    """Share of the page's prose inside each container path; words in links count a tenth."""
+def shares(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
+    """Share of the page's prose inside each container path that leaves none out; words in links count a tenth.
+
+    Left out may be links and stray short lines, up to a fifth of the page, but no headings, and nothing of an article, list or table.
+    """
     held: dict[str, float] = {}
-    for path, text, linked in blocks(html):
+    prose: dict[str, int] = {}
+    for path, text, linked, heading in found:
         worth = max(len(text) - 0.9 * min(linked, len(text)), 0.0)
+        is_prose = 2 * linked < len(text) and (heading or worth >= STRAY or _KEPT.search(path) is not None)
         for p in prefixes(path):
             held[p] = held.get(p, 0.0) + worth
-    whole = held.get("", 0.0)
-    return {p: v / whole for p, v in held.items()} if whole > 0 else {}
+            prose[p] = prose.get(p, 0) + is_prose
+    whole, least = held.get("", 0.0), AGREED if prose.get("") else 1.0
+    return {p: v / whole for p, v in held.items() if prose[p] == prose[""] and v >= least * whole} if whole > 0 else {}
 
 
 def deepest(held: dict[str, float]) -> str:
-    """The deepest path with nearly all prose; of equally deep ones the fullest, then the first by name."""
-    best = [p for p, v in held.items() if v >= AGREED]
-    return max(best, key=lambda p: (p.count("/"), held[p], [-ord(c) for c in p])) if best else ""
+    """The deepest path that leaves no prose out; of equally deep ones the fullest, then the first by name."""
+    return max(held, key=lambda p: (p.count("/"), held[p], [-ord(c) for c in p])) if held else ""
 
 
 def main_text(html: str, path: str | None) -> str:
-    """Blocks inside the host's path, or the page's own path where the host has none or the page doesn't hold it."""
+    """Blocks inside the host's path, or the page's own path where the host has none or it would leave prose of the page out."""
     found = list(blocks(html))
-    for p in ([path] if path else []) + [deepest(shares(html))]:
-        inside = [t for q, t, _ in found if q == p or q.startswith(p + "/") or not p]
-        if inside:
-            return "\n\n".join(inside)
-    return ""
+    held = shares(found)
+    p = path if path and path in held else deepest(held)
+    return "\n\n".join(t for q, t, _, _ in found if q == p or q.startswith(p + "/") or not p)
 
 
 def _host(url):  # noqa: ANN001, ANN202
@@ -187,11 +192,11 @@ def _host(url):  # noqa: ANN001, ANN202
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the deepest path that holds most prose over the host's pages. Votes are added up before they are shuffled."""
+    """(host, path): the deepest path that leaves no prose out on most of the host's pages. Votes are added up before they are shuffled."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(h, p, v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, v in shares(x or "").items()]
+            out = [(h, p, v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, v in shares(list(blocks(x or ""))).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.string(), pa.string(), pa.float64()), strict=True)], names=["host", "path", "share"])
 
     cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, share double")
