@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, html_text, language_id, pii, simhash, spans, toxicity
+from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, html_text, hyperminhash, language_id, pii, simhash, spans, toxicity
 from riskbridge.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op9_bpe": lambda spark, sf: bpe.token_digests(table(spark, sf, "documents"), vocabulary_path()),
         "op8_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
+        "op11_hyperminhash": lambda spark, sf: hyperminhash.near_duplicates(table(spark, sf, "documents")),
     }
 
 
@@ -74,4 +75,15 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY body)""",
+        "op11_hyperminhash": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2]) END) AS g FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (g) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    WHERE a.doc_id < b.doc_id GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, b.y FROM reach r JOIN both b ON b.x = r.other)
+SELECT t.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, t.doc_id = min(other) AS kept
+FROM t JOIN reach USING (doc_id) LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id""",
     }
