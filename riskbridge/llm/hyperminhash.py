@@ -233,7 +233,7 @@ def linked(sets: DataFrame, hashes_of, similar: float = SIMILAR) -> DataFrame |
 
 
 def _classes(docs: DataFrame, similar: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, mark, n) for each row, (mark, component_id) for sets that hold a shingle)."""
+    """((doc_id, mark, n) for each row, (mark, root, component_id) for sets that hold a shingle)."""
     rows = durable(with_registers(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), shingle))
     sets = durable(rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")))
 
@@ -244,7 +244,7 @@ def _classes(docs: DataFrame, similar: float, shingle: int) -> tuple[DataFrame,
 
     rooted = _rooted(sets.select("mark", "first"), linked(sets, hashes_of, similar))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "mark", "n"), rooted.join(ids, "root").select("mark", "component_id")
+    return rows.select("doc_id", "mark", "n"), rooted.join(ids, "root").select("mark", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
@@ -269,5 +269,5 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE
     rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"), F.xxhash64("row").alias("h"))
     rows = with_registers(rows, shingle).drop("regs")
     smallest = rows.join(classes, "mark").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = smallest.groupBy("component_id").agg(F.min_by("row", F.struct("h", "mark")).alias("row"))
+    one = smallest.groupBy("root").agg(F.min_by("row", F.struct("h", "mark")).alias("row"))
     return one.select("row.*").unionByName(rows.filter("n = 0").select("row.*"))

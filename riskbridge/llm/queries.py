@@ -82,8 +82,8 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_trans
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (g) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
     WHERE a.doc_id < b.doc_id GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, b.y FROM reach r JOIN both b ON b.x = r.other)
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, b.y FROM reach r JOIN pairs b ON b.x = r.other)
 SELECT t.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, t.doc_id = min(other) AS kept
 FROM t JOIN reach USING (doc_id) LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id""",
     }
