@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbridge.llm import bpe, columns, decontaminate, exact_dedup, html_text, hyperminhash, language_id, pii, simhash, spans, toxicity, variants
+from riskbridge.llm import bpe, columns, decontaminate, dialogues, exact_dedup, html_text, hyperminhash, language_id, pii, simhash, spans, toxicity, variants
 from riskbridge.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op10_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(table(spark, sf, "documents")),
         "op11_hyperminhash": lambda spark, sf: hyperminhash.near_duplicates(table(spark, sf, "documents")),
+        "op12_dialogues": lambda spark, sf: dialogues.repaired_digests(table(spark, sf, "conversations")),
         "op13_variants": lambda spark, sf: variants.spelling_variants(table(spark, sf, "documents")),
     }
 
