@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbridge.functions.durable import durable
-from riskbridge.llm.common import SPACE, packed, text_of
+from riskbridge.llm.common import SPACE, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -56,8 +56,19 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = content_h
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The rows of documents that stay, with all their columns as they were."""
-    rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), normalized(text_of("row.text")).alias("body"))
-    rows = rows.select("row", "doc_id", "body", digest(F.col("body")).alias("h"))
-    out = _with_class(rows, docs, digest)
-    return out.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    """The rows of documents that stay, one for each different text, with all their columns as they were.
+
+    Of rows that share the smallest id and the text one stays: the first by a hash of the whole row.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*cols).alias("row"), F.col("doc_id"), normalized(text_of()).alias("body"), F.xxhash64(*cols).alias("k"))
+    key = F.xxhash64("doc_id", F.md5("body"))
+    rows = rows.select("row", "doc_id", "body", "k", digest(F.col("body")).alias("h"))
+    repeated = durable(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).filter("n > 1").select("key", "k"))
+    out = _with_class(rows, docs, digest).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if repeated.isEmpty():
+        return out.select("row.*")
+    out = out.withColumn("key", F.xxhash64("doc_id", F.md5(normalized(text_of("row.text")))))
+    once = out.join(repeated, "key", "left_anti").select("row")
+    one = out.join(repeated, ["key", "k"], "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(one).select("row.*")

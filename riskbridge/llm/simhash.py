@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskbridge.functions.durable import durable
 from riskbridge.llm.arrow import per_batch, utf8
-from riskbridge.llm.common import packed
+from riskbridge.llm.common import rows_by_key
 
 SHINGLE = 3
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -127,12 +127,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _roots(prints: DataFrame, most: int) -> DataFrame:
-    """(fp, component_id) from (doc_id, fp): the smallest id among all documents that links can reach."""
+    """(fp, root, component_id) from (doc_id, fp): what links can reach, by its smallest fingerprint and its smallest id."""
     fps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(close_pairs(fps.select("fp"), most))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = SHINGLE) -> DataFrame:
@@ -147,8 +147,13 @@ def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = SHINGLE) -> D
 
 
 def near_dedup(docs: DataFrame, most: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of each component's smallest document, with all their columns as they were."""
-    prints = durable(with_fingerprint(docs.select("doc_id", "text"), shingle)).distinct()
-    stay = _roots(prints, most).select(F.col("component_id").alias("doc_id")).distinct()
-    rows = packed(docs).withColumn("doc_id", F.col("row.doc_id"))
-    return rows.join(stay, rows.doc_id.eqNullSafe(stay.doc_id), "left_semi").select("row.*")
+    """One row of each component, one of its smallest document's, with all its columns as they were.
+
+    Null and empty texts are one component. Rows are told apart by their whole content, not by doc_id alone: of rows that share the
+    smallest id the first by a hash of the row stays, and of equal rows one. A null doc_id stays only where all of a component are null.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = durable(with_fingerprint(docs.select("doc_id", "text", key.alias("key")), shingle))
+    rooted = prints.join(_roots(prints, most), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = durable(rooted.groupBy("root").agg(F.min("key").alias("key")).select("key"))
+    return rows_by_key(docs, key, stay, prints)

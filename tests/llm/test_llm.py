@@ -252,6 +252,19 @@ def test_near_duplicates_odd(odd, empty):
     assert stay.columns == odd.columns and 7 not in {r.doc_id for r in stay.collect()}
 
 
+@pytest.mark.parametrize("dedup", [exact_dedup.exact_dedup, simhash.near_dedup])
+def test_rows_stay_by_content(spark, dedup):
+    a, b = "one text of some words that stays as it is", "an unlike text that shares the id of another row"
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "de"), (1, b, "en"), (2, a, "en"), (3, None, "x"), (3, None, "x"), (4, "", "x"), (None, "null id", "y"), (None, "null id", "y")]
+    got = [tuple(r) for r in dedup(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()]
+    assert len(got) == 4 and {(i, t) for i, t, _ in got} == {(1, a), (1, b), (3, None), (None, "null id")}
+
+
+def test_near_stage_keeps_one_of_each_component(spark, docs):
+    stay = {r.doc_id for r in simhash.near_dedup(table(spark, SF, "documents")).collect()}
+    assert stay == {r.component_id for r in simhash.near_duplicates(table(spark, SF, "documents")).collect()}
+
+
 # ---- language
 
 
