@@ -3,6 +3,10 @@
 Values fall into buckets whose number follows the value order (4,096 per doubling). Bucket totals
 are a small table, bounded by the range of the values and not by the number of rows, so running
 totals over buckets are cheap; a second pass then looks only into the buckets that matter.
+
+A bucket that holds more values than one task should sort is an index of its own: its range falls into 4,096 buckets, and so do
+theirs. At the third level a bucket spans 2^-36 of a doubling, where there are no more than about 2^17 doubles, so that no sort
+is larger than that or the budget, however narrow the column is.
 """
 
 from functools import reduce
@@ -12,16 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 4096
-_OFFSET = 1100 * PER_OCTAVE  # above |log2| of any finite double
+LEVEL_BITS = 12
+LEVELS = 3
+PER_OCTAVE = 1 << LEVEL_BITS
+SORTED_VALUES = 1 << 18  # different values of a bucket that one task sorts; riskbridge.sortedValues overrides it
 
 
-def order_bucket(x: Column) -> Column:
-    """A whole number that never decreases as x grows."""
-    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1025.0)) * PER_OCTAVE) + _OFFSET
+def order_bucket(x: Column, level: int = 0) -> Column:
+    """A whole number that never decreases as x grows; a level's buckets lie inside those of the level before."""
+    per_octave = PER_OCTAVE << (LEVEL_BITS * level)
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1025.0)) * per_octave) + 1100 * per_octave  # above |log2| of any finite double
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
+def _budget(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("riskbridge.sortedValues", str(SORTED_VALUES)))
+
 
 def long_form(df: DataFrame, keep: list[str], values: list[str]) -> DataFrame:
     """One row per value: keep columns, FEATURE, VALUE."""
@@ -38,6 +48,31 @@ def bucket_totals(rows: DataFrame, by: list[str], weights: list[str]) -> DataFra
     )
 
 
+def running_totals(values: DataFrame, by: list[str], weights: list[str], level: int = 0) -> DataFrame:
+    """Different values `_v` of each group with `<w>_upto`, the weights at or below them, `<w>_all`, and `_size`, the values sorted with them.
+
+    Buckets within the budget are sorted whole, others by the buckets of the next level.
+    """
+    b, last = f"_b{level}", level == LEVELS - 1
+    at = values.withColumn(b, order_bucket(F.col("_v"), level))
+    totals = at.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_size"), *[F.sum(w).alias(f"{w}_in{level}") for w in weights])
+    before = W.partitionBy(*by).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(f"{w}_in{level}").over(before), F.lit(0)).alias(f"{w}_below{level}") for w in weights]
+    whole = {} if level else {f"{w}_all": F.sum(f"{w}_in{level}").over(W.partitionBy(*by)) for w in weights}
+    offsets = totals.select(*by, b, "_size", *sums, *[c.alias(n) for n, c in whole.items()])
+    placed = at.join(offsets, [*by, b])
+    running = W.partitionBy(*by, b).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    small = placed if last else placed.filter(F.col("_size") <= _budget(values))
+    upto = {w: F.col(f"{w}_below{level}") + F.sum(w).over(running) for w in weights}
+    done = small.select(*values.columns, *[c.alias(f"{w}_upto") for w, c in upto.items()], "_size", *whole)
+    if last:
+        return done
+    large = placed.filter(F.col("_size") > _budget(values)).drop("_size")
+    inner = running_totals(large, [*by, b], weights, level + 1)
+    shifted = [(F.col(f"{w}_below{level}") + F.col(f"{w}_upto")).alias(f"{w}_upto") for w in weights]
+    return done.unionByName(inner.select(*values.columns, *shifted, "_size", *whole))
+
+
 def quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
@@ -58,16 +93,19 @@ def quantiles(
     below = F.col("_w_upto") - F.col("_w")
     wanted = reduce(or_, [(r >= below) & (r < F.col("_w_upto")) for r in ranks])
     picked = (
-        bucket_totals(rows, by, ["_w"])
+        bucket_totals(rows.withColumn("_rows", F.lit(1)), by, ["_w", "_rows"])
         .filter(wanted)
         .withColumn("_slots", F.filter(slot_array, lambda s: (s["rank"] >= below) & (s["rank"] < F.col("_w_upto"))))
-        .select(*by, "_b", below.alias("_below"), n.alias("_n"), "_slots")
+        .select(*by, "_b", below.alias("_below"), n.alias("_n"), "_slots", "_rows")
     )
     inside = rows.join(picked.select(*by, "_b"), [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.sum("_w").alias("_w"))
     running = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = inside.join(picked, [*by, "_b"])
+    few = found.filter(F.col("_rows") <= _budget(df)).withColumn("_w_upto", F.sum("_w").over(running))
+    many = running_totals(found.filter(F.col("_rows") > _budget(df)), [*by, "_b"], ["_w"], 1).drop("_size")
     ranked = (
-        inside.join(picked, [*by, "_b"])
-        .withColumn("_upto", F.col("_below") + F.sum("_w").over(running))
+        few.unionByName(many)
+        .withColumn("_upto", F.col("_below") + F.col("_w_upto"))
         .withColumn(
             "_slot",
             F.explode(
@@ -91,17 +129,9 @@ def running_counts(df: DataFrame, by: list[str], value: str, weight: str | None
     """Distinct values with `n` rows, `upto` rows at or below the value, and `total` rows."""
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df.select(*by, F.col(value).alias("_v"), w.alias("_w"))
-    counts = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_b", order_bucket(F.col("_v")))
-    offsets = bucket_totals(counts, by, ["_w"]).select(
-        *by, "_b", (F.col("_w_upto") - F.col("_w")).alias("_below"), F.col("_w_all").alias("total")
-    )
-    running = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.join(offsets, [*by, "_b"]).select(
-        *by,
-        F.col("_v").alias(value),
-        F.col("_w").alias("n"),
-        (F.col("_below") + F.sum("_w").over(running)).alias("upto"),
-        "total",
+    counts = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))
+    return running_totals(counts, by, ["_w"]).select(
+        *by, F.col("_v").alias(value), F.col("_w").alias("n"), F.col("_w_upto").alias("upto"), F.col("_w_all").alias("total")
     )
 
 
@@ -117,9 +147,10 @@ def widest_gap(df: DataFrame, by: list[str], value: str, left: str, right: str)
     def share(side, upto):
         return F.when(F.col(f"{side}_all") > 0, upto / F.col(f"{side}_all")).otherwise(0.0)
 
-    edges = bucket_totals(rows, by, ["_l", "_r"]).select(
+    edges = bucket_totals(rows.withColumn("_rows", F.lit(1)), by, ["_l", "_r", "_rows"]).select(
         *by,
         "_b",
+        "_rows",
         F.col("_l_all"),
         F.col("_r_all"),
         (F.col("_l_upto") - F.col("_l")).alias("_l_below"),
@@ -135,19 +166,20 @@ def widest_gap(df: DataFrame, by: list[str], value: str, left: str, right: str)
             "_most": F.greatest(F.col("_le") - F.col("_rs"), F.col("_re") - F.col("_ls")),
         }
     )
-    open_ = at_edges.filter(F.col("_most") > F.col("_seen")).select(*by, "_b", "_l_all", "_r_all", "_l_below", "_r_below")
+    open_ = at_edges.filter(F.col("_most") > F.col("_seen")).select(*by, "_b", "_rows", "_l_all", "_r_all", "_l_below", "_r_below")
     inside = (
         rows.join(open_.select(*by, "_b"), [*by, "_b"], "left_semi")
         .groupBy(*by, "_b", "_v")
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     )
     running = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at_values = inside.join(open_, [*by, "_b"]).select(
+    found = inside.join(open_, [*by, "_b"])
+    sums = {f"{w}_upto": F.sum(w).over(running) for w in ("_l", "_r")}
+    few = found.filter(F.col("_rows") <= _budget(df)).withColumns(sums)
+    many = running_totals(found.filter(F.col("_rows") > _budget(df)), [*by, "_b"], ["_l", "_r"], 1).drop("_size")
+    at_values = few.unionByName(many).select(
         *by,
-        F.abs(
-            share("_l", F.col("_l_below") + F.sum("_l").over(running))
-            - share("_r", F.col("_r_below") + F.sum("_r").over(running))
-        ).alias("gap"),
+        F.abs(share("_l", F.col("_l_below") + F.col("_l_upto")) - share("_r", F.col("_r_below") + F.col("_r_upto"))).alias("gap"),
         F.lit(None).cast("long").alias("n_left"),
         F.lit(None).cast("long").alias("n_right"),
     )

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskbridge.functions.order import order_bucket, quantiles, running_counts, sample_n, widest_gap
+from riskbridge.functions.order import LEVELS, order_bucket, quantiles, running_counts, running_totals, sample_n, widest_gap
 from riskbridge.operators.stats import histogram, kernel_density, kolmogorov_p, psi
 
 number = st.one_of(
@@ -59,6 +59,54 @@ def test_extreme_values_have_buckets(spark):
     assert b == sorted(b)
 
 
+@pytest.fixture
+def narrow(spark):
+    """Sort at most 16 values at once."""
+    spark.conf.set("riskbridge.sortedValues", "16")
+    yield
+    spark.conf.unset("riskbridge.sortedValues")
+
+
+def crowded(rng, n=1500):
+    """Values of one bucket: clusters of different width inside it, neighbouring doubles, and many copies of one value."""
+    near = 1.0 + rng.integers(0, 400, n) * 2.0**-30
+    dense = 1.0 + 2.0**-14 + rng.integers(0, 300, n) * 2.0**-52
+    return np.concatenate([near, dense, np.full(n, 1.0 + 2.0**-15), 1.0 + rng.random(n) * 2.0**-13])
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_one_crowded_bucket_is_an_index_of_its_own(spark, narrow, sign):
+    rng = np.random.default_rng(4)
+    left, right = sign * crowded(rng), sign * crowded(rng)
+    wide = sign * 2.0 ** rng.uniform(-40, 40, 300)
+    rows = [("all", float(x), 1, 0) for x in [*left, *wide]] + [("all", float(x), 0, 1) for x in right]
+    df = spark.createDataFrame(rows, "g string, x double, l long, r long")
+    assert df.filter("abs(x) between 1 and 1.001").select(order_bucket(F.col("x")).alias("b")).distinct().count() <= 2
+    both = np.concatenate([left, wide, right])
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    got = quantiles(df, ["g"], "x", probs).first()
+    assert [got[n] for n in probs] == pytest.approx([np.percentile(both, 100 * p) for p in probs.values()], rel=1e-15)
+    upto = {r.x: (r.n, r.upto, r.total) for r in running_counts(df, [], "x").collect()}
+    ordered = np.sort(both)
+    assert upto == {x: (int((both == x).sum()), int(np.searchsorted(ordered, x, "right")), len(both)) for x in set(both.tolist())}
+    fa, fb = np.sort(np.concatenate([left, wide])), np.sort(right)
+    gap = np.abs(np.searchsorted(fa, ordered, "right") / len(fa) - np.searchsorted(fb, ordered, "right") / len(fb)).max()
+    assert widest_gap(df, ["g"], "x", "l", "r").first().gap == pytest.approx(gap, rel=1e-12)
+
+
+def test_no_sort_exceeds_the_budget(spark, narrow):
+    xs = sorted({float(x) for x in 1.0 + np.random.default_rng(5).integers(0, 1 << 20, 4000) * 2.0**-34})
+    values = spark.createDataFrame([(x, 1) for x in xs], "_v double, _w long")
+    got = running_totals(values, [], ["_w"]).orderBy("_v").collect()
+    assert [r._w_upto for r in got] == list(range(1, len(xs) + 1))
+    assert values.groupBy(order_bucket(F.col("_v"))).count().agg(F.max("count")).first()[0] > 500
+    assert max(r._size for r in got) <= 16
+    # the last level leaves no more than the doubles of one of its buckets
+    b = order_bucket(F.col("x"), LEVELS - 1)
+    edge = spark.createDataFrame([(x, x * (1 + 2.0**-35)) for x in (1.7, 1e-300, 3e9, 1e300)], "x double, y double")
+    assert all(r.a < r.b for r in edge.select(b.alias("a"), order_bucket(F.col("y"), LEVELS - 1).alias("b")).collect())
+
+
 def brute_psi(prior, curr, bins=10):
     edges = np.percentile(prior, np.linspace(0, 100, bins + 1))
     edges[0], edges[-1] = edges[0] - 1e-5, edges[-1] + 1e-5
