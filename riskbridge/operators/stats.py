@@ -259,35 +259,43 @@ def rate_density(loc: DataFrame, pol: DataFrame, bins: int = 30) -> DataFrame:
 
 
 def kernel_density(
-    df: DataFrame, by: list[str], value: str, weight: str | None = None, grid: int = 200, cut: float = 3.0, bins: int = 2048
+    df: DataFrame, by: list[str], value: str, weight: str | None = None, grid: int = 200, cut: float = 3.0, fineness: int = 8, reach: float = 9.0
 ) -> DataFrame:
-    """Gaussian density on a grid per group, from a fine histogram, with Scott's bandwidth."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    x = F.col(value)
-    fine = histogram(df, by, value, bins, weight)
-    # at most `bins` entries per group
-    packed = fine.groupBy(*by).agg(
-        F.collect_list(F.struct(((F.col("BIN_START") + F.col("BIN_END")) / 2).alias("x"), F.col("ROWS").alias("n"))).alias("_bins")
-    )
-    n, mean = F.sum(w), F.sum(w * x) / F.sum(w)
-    spread = df.groupBy(*by).agg(
-        n.alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), mean.alias("_m"), F.sum(w * x * x).alias("_sq")
-    )
-    var = (F.col("_sq") - F.col("_n") * F.col("_m") * F.col("_m")) / (F.col("_n") - 1)
-    h = F.col("_h")
+    """Gaussian density of all rows on a grid per group, with Scott's bandwidth.
+
+    Rows fall into bins of 1/`fineness` bandwidth; only bins that hold rows exist, however far the values spread. A bin keeps the
+    moments of its rows about its middle, and adds its kernels as a series of Hermite polynomials to the grid points within
+    `reach` bandwidths, beyond which a kernel is less than 10^-17. What the series leaves out is below 10^-7 of a row's kernel. Null
+    values are left out; groups of one row or one value have no density.
+    """
+    moments = 5
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    rows = rows.filter("_x is not null and _w > 0")
+    x, w, h = F.col("_x"), F.col("_w"), F.col("_h")
+    # one row per group: range and mean, then the spread about the mean
+    ranges = rows.groupBy(*by).agg(F.sum(w).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), (F.sum(w * x) / F.sum(w)).alias("_m"))
+    about = rows.join(ranges, by) if by else rows.join(ranges)
+    spread = about.groupBy(*by, "_n", "_lo", "_hi").agg(F.sum(w * (x - F.col("_m")) * (x - F.col("_m"))).alias("_ss"))
+    shape = spread.filter("_n > 1 and _ss > 0").withColumn("_h", F.sqrt(F.col("_ss") / (F.col("_n") - 1)) * F.pow("_n", F.lit(-0.2)))
     start, end = F.col("_lo") - cut * h, F.col("_hi") + cut * h
-    return (
-        packed.join(spread.filter("_n > 1"), by)
-        .withColumn("_h", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow("_n", F.lit(-0.2)))
-        .filter(h > 0)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .withColumn("X", start + (end - start) * F.col("_i") / (grid - 1))
-        .select(
-            *by,
-            "X",
-            (
-                F.aggregate("_bins", F.lit(0.0), lambda acc, b: acc + b["n"] * F.exp(-0.5 * F.pow((F.col("X") - b["x"]) / h, F.lit(2))))
-                / (F.col("_n") * h * 2.5066282746310002)
-            ).alias("DENSITY"),
-        )
-    )
+    shape = shape.select(*by, "_n", "_h", "_lo", start.alias("_start"), ((end - start) / (grid - 1)).alias("_step"))
+    placed = (rows.join(shape, by) if by else rows.join(shape)).withColumn("_b", F.floor((x - F.col("_lo")) / h * fineness))
+    middle = F.col("_lo") + (F.col("_b") + 0.5) * h / fineness
+    placed = placed.withColumn("_c", middle).withColumn("_d", (x - F.col("_c")) / h)
+    bins = placed.groupBy(*by, "_c", "_h", "_start", "_step").agg(*[F.sum(w * F.pow("_d", F.lit(m))).alias(f"_m{m}") for m in range(moments)])
+    first = F.greatest(F.ceil((F.col("_c") - reach * h - F.col("_start")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((F.col("_c") + reach * h - F.col("_start")) / F.col("_step")), F.lit(grid - 1))
+    near = bins.filter(first <= last).withColumn("_i", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    near = near.withColumn("_u", (F.col("_start") + F.col("_step") * F.col("_i") - F.col("_c")) / h)
+    u = F.col("_u")
+    hermite, factorial = [F.lit(1.0), u], 1.0
+    for m in range(2, moments):
+        hermite.append(u * hermite[-1] - (m - 1) * hermite[-2])
+    series = F.lit(0.0)
+    for m in range(moments):
+        factorial *= max(m, 1)
+        series = series + F.col(f"_m{m}") * hermite[m] / factorial
+    sums = near.groupBy(*by, "_i").agg(F.sum(series * F.exp(-0.5 * u * u)).alias("_sum"))
+    points = shape.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    density = F.coalesce(F.greatest(F.col("_sum"), F.lit(0.0)), F.lit(0.0)) / (F.col("_n") * h * 2.5066282746310002)
+    return points.join(sums, [*by, "_i"], "left").select(*by, (F.col("_start") + F.col("_step") * F.col("_i")).alias("X"), density.alias("DENSITY"))

@@ -433,12 +433,10 @@ SELECT PERIOD, BIN, round(lo + BIN * w, 6) AS BIN_START, round(lo + (BIN + 1) *
         + """
 , s AS (SELECT PERIOD, count(*) AS n, min(RATE_ON_LINE_PCT) AS lo, max(RATE_ON_LINE_PCT) AS hi,
     stddev_samp(RATE_ON_LINE_PCT) * pow(count(*), -0.2) AS h FROM m GROUP BY 1),
-b AS (SELECT PERIOD, least(2047, floor((RATE_ON_LINE_PCT - lo) / ((hi - lo) / 2048))) AS i, count(*) AS c
-  FROM m JOIN s USING (PERIOD) GROUP BY ALL),
+v AS (SELECT PERIOD, RATE_ON_LINE_PCT AS r, count(*) AS c FROM m GROUP BY ALL),
 g AS (SELECT s.*, k, lo - 3 * h + (hi - lo + 6 * h) * k / 199 AS x FROM s, range(200) t(k))
-SELECT PERIOD, round(x, 6) AS X,
-  round(sum(c * exp(-0.5 * pow((x - (lo + (i + 0.5) * (hi - lo) / 2048)) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS DENSITY
-FROM g JOIN b USING (PERIOD) GROUP BY PERIOD, x""",
+SELECT PERIOD, round(x, 6) AS X, round(sum(c * exp(-0.5 * pow((x - r) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS DENSITY
+FROM g JOIN v USING (PERIOD) GROUP BY PERIOD, x""",
         "sample_n": f2
         + f"""
 , k AS (SELECT {_ROW}, TIV_TOTAL, FLOORAREA, md5(concat_ws('|', {_ROW}, '42')) AS h FROM cur)

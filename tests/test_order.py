@@ -166,3 +166,20 @@ def test_histogram_and_density(spark):
     mid = curve[200]
     exact = np.mean([math.exp(-0.5 * ((mid.X - x) / h) ** 2) for x in xs]) / (h * math.sqrt(2 * math.pi))
     assert mid.DENSITY == pytest.approx(exact, rel=1e-3)
+
+
+@pytest.mark.parametrize("outlier", [None, 5000.0])
+def test_density_is_that_of_the_rows(spark, outlier):
+    rng = np.random.default_rng(2)
+    xs = np.concatenate([rng.normal(1, 0.1, 3000), rng.exponential(0.3, 1000), [] if outlier is None else [outlier]])
+    w = rng.integers(1, 4, len(xs))
+    df = spark.createDataFrame([("g", float(x), int(n)) for x, n in zip(xs, w)] + [("g", None, 1), ("flat", 2.0, 3), ("lone", 1.0, 1)], "g string, x double, w int")
+    got = {r.X: r.DENSITY for r in kernel_density(df, ["g"], "x", "w").collect()}
+    n, mean = w.sum(), np.average(xs, weights=w)
+    h = np.sqrt((w * (xs - mean) ** 2).sum() / (n - 1)) * n**-0.2
+    grid = np.linspace(xs.min() - 3 * h, xs.max() + 3 * h, 200)
+    exact = [(w * np.exp(-0.5 * ((g - xs) / h) ** 2)).sum() / (n * h * math.sqrt(2 * math.pi)) for g in grid]
+    assert sorted(got) == pytest.approx(list(grid), rel=1e-9, abs=1e-9)
+    assert [got[x] for x in sorted(got)] == pytest.approx(exact, abs=1e-7 * max(exact))
+    ungrouped = kernel_density(df.filter("g = 'g'"), [], "x", "w").collect()
+    assert sorted(r.DENSITY for r in ungrouped) == pytest.approx(sorted(got.values()), abs=1e-12)
