@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -121,16 +122,37 @@ def test_networks(spark):
         F.lit("p").alias("POLICYNUM"), F.lit("l").alias("LOCNUM"), F.randn(1).alias("a"), F.randn(2).alias("b"),
     )
     data = durable(xs.withColumn("y", F.col("a") * 0.8 - F.abs("b") * 0.5).repartition(4))
-    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 25, shards=4)
+    net = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 40)
     pdf = data.toPandas()
     err = ((net.predict(pdf[["a", "b"]].to_numpy())[:, 0] - pdf["y"]) ** 2).mean() / pdf["y"].var()
-    assert err < 0.05
-    again = neural.fit_net(data, ["a", "b"], ["y"], (16, 8), 3)
-    # neither files nor Arrow's batches change what is learned
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
-    other = neural.fit_net(data.repartition(7), ["a", "b"], ["y"], (16, 8), 3)
+    assert err < 0.02
+
+
+def test_networks_do_not_depend_on_the_layout(spark):
+    xs = spark.range(6_000).select(
+        F.lit("curr").alias("PERIOD"), F.lit("Commercial").alias("SEGMENT"), F.col("id").cast("string").alias("ACCNTNUM"),
+        F.lit("p").alias("POLICYNUM"), F.lit("l").alias("LOCNUM"), F.randn(1).alias("a"), F.randn(2).alias("b"),
+    )
+    data = durable(xs.withColumn("y", F.col("a") * 0.8 - F.abs("b") * 0.5))
+    fits = []
+    for parts, batch in ((1, 10_000), (8, 700), (64, 10_000), (150, 3000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        fits.append(neural.fit_net(data.repartition(parts, "a"), ["a", "b"], ["y"], (16, 8), 8).theta)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert np.allclose(again.theta, other.theta)
+    for other in fits[1:]:
+        assert other == pytest.approx(fits[0], rel=1e-9, abs=1e-9)
+
+
+def test_one_pass_sums_all_rows(spark):
+    pdf = pd.DataFrame(np.random.default_rng(1).normal(size=(500, 3)), columns=["a", "b", "y"])
+    pdf["_hold"] = np.arange(500) % 10 == 0
+    net = Net.start((2, 5, 1))
+    got = neural.one_pass(spark.createDataFrame(pdf).repartition(3), net, ["a", "b"], ["y"])
+    fit, held = pdf[~pdf._hold], pdf[pdf._hold]
+    x, y = fit[["a", "b"]].to_numpy(), fit[["y"]].to_numpy()
+    assert got.gradient == pytest.approx(net.gradient(x, y), rel=1e-9, abs=1e-12)
+    assert got.score == pytest.approx(1 - ((net.predict(held[["a", "b"]].to_numpy())[:, 0] - held.y) ** 2).sum() / (held.y.var(ddof=0) * len(held)))
+    assert (got.rows, got.held) == (450, 50)
 
 
 def test_forests_do_not_depend_on_partitions(rows):
