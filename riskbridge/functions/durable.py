@@ -4,7 +4,6 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -34,14 +33,3 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     path = f"{folder}/riskbridge-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def laid_out(df: DataFrame, parts: int) -> DataFrame:
-    """Rows dealt over `parts` partitions by a hash of all their columns, and sorted by it inside each.
-
-    Partitions and their order then depend on the rows alone, not on files, cores or a lost executor. They are kept
-    in Spark's storage, as files read back would be split anew.
-    """
-    names = df.columns
-    dealt = df.withColumn("_h", F.xxhash64(*names)).repartition(parts, "_h").sortWithinPartitions("_h", *names)
-    return dealt.drop("_h").persist(StorageLevel.MEMORY_AND_DISK)

@@ -189,6 +189,20 @@ def widest_gap(df: DataFrame, by: list[str], value: str, left: str, right: str)
     )
 
 
+def bin_edges(df: DataFrame, cols: list[str], bins: int = 32) -> dict[str, list[float]]:
+    """Upper edges, fewer than `bins` per column, that cut its values into about equal counts.
+
+    An edge is the largest value of the value bucket that holds the wanted rank, so bucket totals are all that is needed.
+    """
+    rows = long_form(df, [], cols).select("FEATURE", F.col("VALUE").cast("double").alias("_v")).filter("_v is not null")
+    totals = rows.withColumn("_b", order_bucket(F.col("_v"))).groupBy("FEATURE", "_b").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("top"))
+    running = W.partitionBy("FEATURE").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = totals.withColumns({"upto": F.sum("n").over(running), "all": F.sum("n").over(W.partitionBy("FEATURE"))})
+    crossed = F.floor(F.col("upto") * bins / F.col("all")) > F.floor((F.col("upto") - F.col("n")) * bins / F.col("all"))
+    found = placed.filter(crossed & (F.col("upto") < F.col("all"))).select("FEATURE", "top").collect()  # fewer than bins per column
+    return {c: sorted({r.top for r in found if r.FEATURE == c}) for c in cols}
+
+
 def sample_n(df: DataFrame, n: int, key: list[str], ties: list[str] = (), seed: int = 42) -> DataFrame:
     """Seeded sample of exactly n rows (all rows if there are fewer), the same on every run.
 

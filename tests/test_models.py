@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskbridge.functions.durable import durable
 from riskbridge.functions.scaling import fit_robust, fit_standard, scaled
-from riskbridge.operators import clusters, features, forests, neural
+from riskbridge.operators import bagging, clusters, features, forests, neural
 from riskbridge.operators.features import RISK_FEATURES
 from riskbridge.operators.neural import Net
 from riskbridge.sources.fixtures import locations, policies
@@ -79,6 +79,56 @@ def test_forests(both, rows):
     assert m.UNDERPRICED_ROWS == b.filter("PRICING_DEVIATION_PCT < -30").count() and m.UNDERPRICED_ACCOUNTS <= m.UNDERPRICED_ROWS
 
 
+def test_forest_is_the_same_on_any_partitions(spark, both):
+    data = both.select(*RISK_FEATURES, (F.col("PERIOD") == "curr").cast("double").alias("y"), *features.ROW_KEYS)
+    fits = [bagging.fit_forest(data.repartition(n), RISK_FEATURES, "y", trees=4, depth=3, rate=0.5, features_per_node=3) for n in (2, 60)]
+    for name in ("feature", "cut", "value", "weight", "gain"):
+        assert (getattr(fits[0], name) == getattr(fits[1], name)).all(), name
+    assert fits[0].importances().sum() == pytest.approx(1)
+    # children share out the weight of their parent, whose value is their mean
+    f = fits[0]
+    for t, i in zip(*np.nonzero(f.feature >= 0)):
+        left, right = 2 * i + 1, 2 * i + 2
+        assert f.weight[t, left] + f.weight[t, right] == f.weight[t, i]
+        assert (f.weight[t, [left, right]] * f.value[t, [left, right]]).sum() / f.weight[t, i] == pytest.approx(f.value[t, i], abs=1e-6)
+
+
+def test_forest_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.integers(0, 20, 300) / 4, "b": rng.normal(size=300)})
+    pdf["y"] = np.where(pdf.a > 2, 3.0, 0.0) + (pdf.b > 0.3) * 1.5 + rng.normal(size=300) * 0.1
+    df = spark.createDataFrame(pdf)
+    h = np.array([r[0] for r in df.select(F.xxhash64("a", "b", "y", F.lit(42))).collect()])
+    forest = bagging.fit_forest(df, ["a", "b"], "y", trees=3, depth=2)
+    from riskbridge.functions.order import bin_edges
+
+    edges = bin_edges(df, ["a", "b"])
+    for t in range(3):
+        w = bagging.poisson(bagging.uniform(h, 42 * 1_000_003 + t), 1.0)
+        best = {}
+        for c in ("a", "b"):
+            for e in edges[c]:
+                low = (pdf[c] <= e).to_numpy()
+                if w[low].sum() and w[~low].sum():
+                    error = sum((w[s] * (pdf.y[s] - np.average(pdf.y[s], weights=w[s])) ** 2).sum() for s in (low, ~low))
+                    best[error] = (c, e)
+        c, e = best[min(best)]
+        assert (forest.inputs[forest.feature[t, 0]], forest.cut[t, 0]) == (c, e)
+        assert forest.value[t, 0] == pytest.approx(np.average(pdf.y, weights=w), abs=1e-4)
+    fitted = ((forest.predict(pdf[["a", "b"]].to_numpy()) - pdf.y) ** 2).mean() / pdf.y.var()
+    assert fitted < 0.05
+    got = df.withColumn("p", forest.predicted()).toPandas()
+    assert got.p.to_numpy() == pytest.approx(forest.predict(got[["a", "b"]].to_numpy()))
+
+
+def test_poisson_draws():
+    u = bagging.uniform(np.arange(200_000, dtype=np.int64), 3)
+    assert u.mean() == pytest.approx(0.5, abs=0.005) and 0 <= u.min() and u.max() < 1
+    for rate in (0.05, 1.0, 3.0):
+        k = bagging.poisson(u, rate)
+        assert k.mean() == pytest.approx(rate, rel=0.05) and k.var() == pytest.approx(rate, rel=0.05)
+
+
 def test_isolation_forest_finds_a_planted_outlier(spark, rows):
     odd = rows.limit(1).withColumns({c: F.lit(1e9) for c in RISK_FEATURES}).withColumn("LOCNUM", F.lit("odd"))
     data = durable(rows.unionByName(odd))
