@@ -36,16 +36,8 @@ def uniform(rows: np.ndarray, salt: int) -> np.ndarray:
 
 def poisson(u: np.ndarray, rate: float) -> np.ndarray:
     """Poisson draws by inversion of uniform numbers."""
-    k = np.zeros(len(u))
-    term = total = np.exp(-rate)
-    for i in range(1, 40):
-        more = u >= total
-        if not more.any():
-            break
-        k += more
-        term *= rate / i
-        total += term
-    return k
+    terms = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, 40)]))
+    return np.searchsorted(np.cumsum(terms), u, side="right").astype(float)
 
 
 @dataclass(frozen=True)
@@ -120,13 +112,16 @@ def fit_forest(
     middle = round((stats.m or 0.0) / spread * 1024) / 1024 * spread
     data = rows.select(*inputs, target, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)).alias("_h"))
 
+    def salt(tree: int) -> int:
+        return seed * 1_000_003 + tree
+
     def weights(h: np.ndarray, tree: int) -> np.ndarray:
-        return poisson(uniform(h, seed * 1_000_003 + tree), rate)
+        return poisson(uniform(h, salt(tree)), rate)
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = pdf["_h"].to_numpy()
-            yield pdf[np.any([weights(h, t) > 0 for t in range(trees)], axis=0)] if len(pdf) else pdf
+            yield pdf[np.any([uniform(h, salt(t)) >= np.exp(-rate) for t in range(trees)], axis=0)] if len(pdf) else pdf
 
     if rate * trees < 1:  # most rows are in no tree
         data = data.mapInPandas(drawn, data.schema)
