@@ -17,7 +17,7 @@ from riskbridge.llm.arrow import per_batch, utf8
 from riskbridge.llm.language_id import held_out
 from riskbridge.llm.passages import Hashes, mixed
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 16
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 14, 10, 6, 4
 ENDS = [(3, 0), (4, 0), (5, 0), (0, 3), (0, 4)]  # characters at a word's start, at its end
 SLOTS = 1 + len(ENDS)
@@ -219,26 +219,27 @@ def train(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128,
     return net
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_label: int, most_chars: int) -> tuple[list[str], list[int]]:
-    """At most per_label toxic and three times as many other texts, drawn by a hash of the id, each cut at most_chars."""
+def sampled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[list[str], list[int]]:
+    """The whole texts of at most per_label toxic and three times as many other documents of docs, drawn by a hash of the id."""
     known = labels.filter("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
+    known = known.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     drawn = None
     for value in (0, 1):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(3)), "id").limit(per_label * (3 if value == 0 else 1))
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select(F.substring("text", 1, most_chars).alias("text"), "toxic", "id")  # 4 per_label rows at most
+    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic", "id")  # 4 per_label rows at most
     rows = rows.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(3)), "id", "text").collect()
     return [r.text for r in rows], [r.toxic for r in rows]
 
 
 def scored(docs: DataFrame, net: Network | None) -> DataFrame:
-    """The columns of docs but `text`, with score (0 to 1) of each whole text; 0.5 without a network."""
+    """The columns of docs but `text`, with score (0 to 1) of each whole text; 0 without a network."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(column: pa.Array) -> dict[str, pa.Array]:
         n = shared.value
         if n is None or not len(column):
-            return {"score": pa.array(np.full(len(column), 0.5))}
+            return {"score": pa.array(np.zeros(len(column)))}
         data, offsets = utf8(column)
         which, text, slots = words(data, offsets)
         top = np.full(len(column), -np.inf)
@@ -253,14 +254,14 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     return per_batch(docs, "text", run, "score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 700, most_chars: int = 3000, epochs: int = 8) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 700, epochs: int = 8) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Learns from labelled documents whose crc32(doc_id) mod 5 is not 0: at most per_label toxic texts and three times as many others, cut at
-    most_chars for learning only. Null texts are empty; an empty text is a window of padding. If either label has no
-    training text all scores are 0.5. Null ids are never trained on. Conflicting labels of an id both count.
+    Learns from the whole texts of labelled documents whose crc32(doc_id) mod 5 is not 0: at most per_label toxic ones and three times as
+    many others. Null texts are empty; an empty text is a window of padding. If either label has no training text all scores
+    are 0. Null ids are never trained on. Conflicting labels of an id both count; repeated rows are scored alike. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text", held_out(5, 0).alias("held_out"))
-    texts, toxic = sampled(rows.filter("not held_out and text is not null"), labels, per_label, most_chars)
+    texts, toxic = sampled(rows.filter("not held_out and text is not null"), labels, per_label)
     net = train(texts, toxic, epochs) if len(set(toxic)) == 2 else None
     return scored(rows, net).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
