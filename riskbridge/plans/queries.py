@@ -246,7 +246,12 @@ def queries() -> dict[str, Query]:
         "risk_clusters": _on_model_rows(clusters.risk_clusters),
         "cluster_profiles": _on_model_rows(lambda r: clusters.cluster_profiles(clusters.risk_clusters(r))),
         "pca_2d": _on_model_rows(clusters.pca_2d),
-        "pca_variance": _on_model_rows(clusters.pca_variance),
+        "pca_variance": _on_model_rows(lambda r: rounded(clusters.pca_variance(r), 4, "EXPLAINED_VARIANCE_PCT", *RISK_FEATURES)),
+        "cluster_checks": _on_model_rows(clusters.cluster_checks),
+        "zone_checks": _on_model_rows(clusters.zone_checks),
+        "silhouette_by_stories": _on_model_rows(
+            lambda r: rounded(clusters.silhouette(r.withColumn("CLUSTER_ID", F.col("NUMSTORIES").cast("int") % 5), 5), 6, "SILHOUETTE")
+        ),
         "silhouette": _on_model_rows(clusters.silhouette),
         "geo_zones": _on_model_rows(clusters.geo_zones),
         "geo_zones_weighted": _on_model_rows(lambda r: clusters.geo_zones(r, weighted=True)),

@@ -5,9 +5,11 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from riskbridge.functions.durable import durable
+from riskbridge.functions.moments import moments
 from riskbridge.functions.scaling import fit_robust, fit_standard, scaled
 from riskbridge.operators import bagging, clusters, features, forests, neural
 from riskbridge.operators.features import RISK_FEATURES
+from riskbridge.operators.kmeans import checks, fit_kmeans
 from riskbridge.operators.neural import Net
 from riskbridge.sources.fixtures import locations, policies
 
@@ -50,6 +52,51 @@ def test_clusters(rows):
     assert -1 <= clusters.silhouette(rows).first().SILHOUETTE <= 1
 
 
+def test_starts_and_layouts(spark):
+    """Planted groups, one of them a third of all rows at one point: found alike from 1 and 13 partitions."""
+    rng = np.random.default_rng(1)
+    spots = [(0, 0), (40, 0), (0, 40), (40, 40)]
+    rows = [(float(x + rng.normal()), float(y + rng.normal()), 1.0) for x, y in spots for _ in range(100)] + [(41.0, 41.0, 1.0)] * 200
+    df = spark.createDataFrame(rows, "x double, y double, w double")
+    cols = {"x": F.col("x"), "y": F.col("y")}
+    fits = [fit_kmeans(df.repartition(n), cols, 4, starts=5) for n in (1, 13)]
+    assert fits[0].centres == fits[1].centres and fits[0].inertia == pytest.approx(fits[1].inertia)
+    found = {tuple(round(v / 40) * 40 for v in c) for c in fits[0].centres}
+    assert found == set(spots) and len(fits[0].inertia) == 5
+    fact = checks(df.withColumn("c", fits[0].label(cols)), "c", cols, fits[0]).first()
+    assert (fact.ROWS, fact.CLUSTERS, fact.NEARER_ANOTHER, fact.SUMS_AGREE) == (600, 4, 0, True)
+    heavy = fit_kmeans(df, cols, 1, F.when(F.col("x") > 20, 3.0).otherwise(1.0))
+    x = np.array(rows)[:, 0]
+    assert heavy.centres[0][0] == pytest.approx(np.average(x, weights=np.where(x > 20, 3.0, 1.0)), rel=1e-9)
+    same = fit_kmeans(df.filter("x = 41"), cols, 3)  # fewer points than clusters
+    assert same.inertia == [0.0] * 3 and same.centres == [[41.0, 41.0]] * 3
+
+
+def test_silhouette_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(300, len(RISK_FEATURES))), [0] * 99 + [1] * 200 + [2]
+    cols = "CLUSTER_ID int, " + ", ".join(f"{k} string" for k in features.ROW_KEYS) + ", " + ", ".join(f"{f} double" for f in RISK_FEATURES)
+    df = spark.createDataFrame([(g, *(str(i) for _ in features.ROW_KEYS), *map(float, r)) for i, (g, r) in enumerate(zip(c, x, strict=True))], cols)
+    score = []
+    for i in range(300):
+        far = {g: [float(np.linalg.norm(x[i] - x[j])) for j in range(300) if c[j] == g and j != i] for g in range(3)}
+        a, b = far[c[i]], min(np.mean(far[g]) for g in range(3) if g != c[i])
+        score.append((b - np.mean(a)) / max(b, np.mean(a)) if a else 0.0)
+    got = clusters.silhouette(df, 3, inputs={f: F.col(f) for f in RISK_FEATURES}).first().SILHOUETTE
+    assert got == pytest.approx(np.mean(score), rel=1e-9)
+
+
+def test_moments(spark):
+    x = np.random.default_rng(3).normal(1e6, 1, (500, 3)) @ np.diag([1, 5, 0.1])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(7)
+    m = moments(df, {n: F.col(n) for n in "abc"})
+    assert m.count == 500 and m.means == pytest.approx(x.mean(axis=0)) and m.covariance == pytest.approx(np.cov(x.T), rel=1e-6, abs=1e-6)
+    loads, shares = m.components(3)
+    assert shares.sum() == pytest.approx(1) and list(shares) == sorted(shares, reverse=True) and loads @ loads.T == pytest.approx(np.eye(3), abs=1e-9)
+    none = moments(df.limit(0), {n: F.col(n) for n in "abc"})
+    assert none.count == 0 and not none.covariance.any() and not none.components(2)[1].any()
+
+
 def test_components(rows):
     p = clusters.pca_2d(rows).agg(F.avg("PCA1"), F.avg("PCA2"), F.corr("PCA1", "PCA2"), F.var_samp("PCA1"), F.var_samp("PCA2")).first()
     assert [p[0], p[1], p[2]] == pytest.approx([0, 0, 0], abs=1e-6) and p[3] >= p[4]

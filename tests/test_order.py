@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskbridge.functions.order import LEVELS, order_bucket, quantiles, running_counts, running_totals, sample_n, widest_gap
-from riskbridge.operators.stats import histogram, kernel_density, kolmogorov_p, psi
+from riskbridge.operators.stats import histogram, kernel_density, kolmogorov_p, ks_two_sample, path_share, psi
 
 number = st.one_of(
     st.sampled_from([0.0, 1.0, 1.0 + 1e-9, -1.0, 2.0, 100.25]),
@@ -183,3 +183,26 @@ def test_density_is_that_of_the_rows(spark, outlier):
     assert [got[x] for x in sorted(got)] == pytest.approx(exact, abs=1e-7 * max(exact))
     ungrouped = kernel_density(df.filter("g = 'g'"), [], "x", "w").collect()
     assert sorted(r.DENSITY for r in ungrouped) == pytest.approx(sorted(got.values()), abs=1e-12)
+
+
+def test_exact_gap_p_values(spark):
+    """Against whole-number counts of the paths that stay under the gap."""
+    from math import comb
+
+    for m, n in ((1, 1), (3, 5), (6, 6), (7, 20), (12, 9)):
+        for k in range(m * n + 1):
+            ways = {(0, 0): 1}
+            for i in range(m + 1):
+                for j in range(n + 1):
+                    if i + j:
+                        ways[i, j] = 0 if abs(i * n - j * m) >= k else ways.get((i - 1, j), 0) + ways.get((i, j - 1), 0)
+            inside = ways[m, n] if k > 0 else 0
+            assert path_share(k / (m * n), m, n) == pytest.approx(1 - inside / comb(m + n, m), rel=1e-9, abs=1e-13)
+    assert path_share(1.0, 40, 40) == pytest.approx(2 / comb(80, 40), rel=1e-9)  # no digits lost in small ones
+    rows = [("a", float(i % 7), 1, int(i % 3 == 0)) for i in range(30)] + [("only", 1.0, 1, 0)]
+    df = spark.createDataFrame(rows, "FEATURE string, VALUE double, W_PRIOR int, W_CURR int")
+    got = {r.FEATURE: r for r in ks_two_sample(df).collect()}
+    assert got["a"].P_VALUE == pytest.approx(path_share(got["a"].KS_STATISTIC, 30, 10)) and got["only"].P_VALUE is None
+    series = {r.FEATURE: r.P_VALUE for r in ks_two_sample(df, exact_up_to=29).collect()}
+    want = spark.range(1).select(kolmogorov_p(F.lit(got["a"].KS_STATISTIC), F.lit(30), F.lit(10))).first()[0]
+    assert series["a"] == pytest.approx(want)
