@@ -113,7 +113,7 @@ def byte_digests(docs: DataFrame, window: int = WINDOW, crowd: int = 48) -> Data
     document. Null texts are empty; a null id comes after all others; rows that repeat id and place are not earlier than
     each other. Other columns are ignored.
     """
-    runs = repeated_windows(docs, byte_units, repeated, window, min(GRAM, window), True, crowd)
+    runs = repeated_windows(docs, byte_units, repeated, window, min(GRAM, window), True, crowd, ask_first=True)
     both = with_runs(docs, runs)
 
     def run(batches):  # noqa: ANN001, ANN202

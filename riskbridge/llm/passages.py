@@ -28,6 +28,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = (1 << 24) - 1  # low bits of a packed hash hold the gram's place in the chunk
 CHUNK = 1 << 21
+BUCKET = 1 << 25  # bytes of text a bucket stands for, where buckets grow with the input
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
 
 
@@ -117,13 +118,13 @@ def _later(u: Units, h: np.ndarray, ids: np.ndarray, place: np.ndarray, lo: np.n
     return out
 
 
-def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterator[tuple[int, dict]]:
-    """Payloads by bucket for the windows that start at units lo to hi."""
+def _anchored(u: Units, plan: Plan, lo: int, hi: int) -> tuple | None:
+    """Hashes, anchor places, and of each run of windows with one anchor: first start, windows, end, anchor. Starts are from lo to hi."""
     w, k = plan.window, plan.gram
     stop = min(hi + w - 1, len(u.value))
     n = stop - lo - w + 1
     if n <= 0:
-        return
+        return None
     text = u.text[lo:stop]
     hashes = Hashes(u.value[lo:stop])
     grams = hashes.of(slice(0, stop - lo - k + 1), slice(k, None))
@@ -134,9 +135,24 @@ def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterat
     new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
     begin = np.flatnonzero(new)
     ends = np.flatnonzero(valid & ~np.concatenate([valid[1:] & ~new[1:], [False]]))
-    count = ends - begin + 1
-    last = ends + w
-    anchor, whole = grams[at[begin]], hashes.of(begin, last) ^ mixed((last - begin).astype(U))
+    return hashes, at, begin, ends - begin + 1, ends + w, grams[at[begin]]
+
+
+def _short(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> U(32)).astype(np.uint32)
+
+
+def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int, kept: np.ndarray | None = None) -> Iterator[tuple[int, dict]]:
+    """Payloads by bucket for the windows that start at units lo to hi; with `kept`, only of anchors that a text's list there holds."""
+    w, text = plan.window, u.text[lo:]
+    found = _anchored(u, plan, lo, hi)
+    if found is None:
+        return
+    hashes, at, begin, count, last, anchor = found
+    if kept is not None:
+        met = np.isin((text[begin].astype(U) << U(32)) | _short(anchor), kept)
+        begin, count, last, anchor = begin[met], count[met], last[met], anchor[met]
+    whole = hashes.of(begin, last) ^ mixed((last - begin).astype(U))
     t = text[begin]
     b_lo, b_size = u.lo[lo + begin], u.hi[lo + last - 1] - u.lo[lo + begin]
     place = lo + begin - u.first[t]
@@ -182,23 +198,104 @@ def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int) -> Iterat
     yield from bring.items()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], units: Callable[[np.ndarray, np.ndarray], Units]) -> Iterator[tuple[Units, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Units, ids, keys and rows of about CHUNK bytes of text."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        cuts = np.unique(np.concatenate([[0, batch.num_rows], np.searchsorted(offsets, np.arange(CHUNK, len(data), CHUNK))]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # whole texts, so a chunk is longer only if one text is
+            rows = batch.slice(a, b - a)
+            yield units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), rows.column(0).fill_null(NO_ID).to_numpy(), rows.column(1).to_numpy(), rows
+
+
+def _payloads(made: list[tuple[int, dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([pack(p) for _, p in made], pa.binary())], names=["bucket", "payload"])
+
+
+def _asked(units: Callable[[np.ndarray, np.ndarray], Units], plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Anchors without their passages. One that a chunk holds once asks in its bucket; one that it holds more often is announced there
+    once, and its texts get it by their id, so that a hot anchor costs its bucket one entry a chunk."""
+
+    def entries(text: np.ndarray, short: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict:
+        docs, n = np.unique(text, return_counts=True)
+        return {"id": ids[docs], "key": keys[docs], "n": n.astype(np.uint32), "short": short[np.argsort(text, kind="stable")]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, ids, keys, _ in _chunks(batches, units):
+            for lo in range(0, len(u.value), CHUNK):
+                found = _anchored(u, plan, lo, lo + CHUNK)
+                if found is None:
+                    continue
+                begin, anchor = found[2], found[5]
+                text, bucket = u.text[lo + begin], (anchor % U(plan.buckets)).astype(np.int64)
+                kinds, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
+                once = many[which] == 1
+                bring: dict[int, dict] = {}
+
+                def share(name: str, key: np.ndarray, make: Callable[[np.ndarray], object], bring: dict[int, dict] = bring) -> None:
+                    order = np.argsort(key, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
+                        bring.setdefault(int(key[part[0]]), {})[name] = make(part)
+
+                short = _short(anchor)
+                asks, (t, s) = np.flatnonzero(once), np.unique(np.stack([text[~once].astype(np.int64), short[~once].astype(np.int64)]), axis=1)
+                share("asks", bucket[asks], lambda r, i=asks, text=text, short=short, ids=ids, keys=keys: entries(text[i[r]], short[i[r]], ids, keys))
+                known = kinds[many > 1]
+                share("known", (known % U(plan.buckets)).astype(np.int64), lambda r, known=known: _short(known[r]))
+                share("own", t % plan.buckets, lambda r, t=t, s=s, ids=ids, keys=keys: entries(t[r], s[r].astype(np.uint32), ids, keys))
+                yield _payloads(list(bring.items()))
+
+    return run
+
+
+_LISTS = "id bigint, key int, anchors binary"
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The anchors of each text that the corpus holds more than once, four bytes each."""
+    payloads = [unpack(p.as_py()) for p in table.column("payload")]
+
+    def all_of(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [p[name] for p in payloads if name in p]
+        ids, keys = (np.concatenate([np.repeat(p[c], p["n"]) for p in parts] or [np.zeros(0, t)]) for c, t in (("id", np.int64), ("key", np.int32)))
+        return ids, keys, np.concatenate([p["short"] for p in parts] or [np.zeros(0, np.uint32)])
+
+    asks = all_of("asks")
+    known = np.concatenate([p["known"] for p in payloads if "known" in p] or [np.zeros(0, np.uint32)])
+    _, which, many = np.unique(asks[2], return_inverse=True, return_counts=True)
+    met = (many[which] > 1) | np.isin(asks[2], known)
+    ids, keys, short = (np.concatenate([a[met], o]) for a, o in zip(asks, all_of("own"), strict=True))
+    order = np.lexsort((keys, ids))
+    ids, keys, short = ids[order], keys[order], short[order]
+    head = np.ones(len(ids), bool)
+    head[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    heads = np.flatnonzero(head)
+    raw = short.tobytes()
+    ends = np.append(heads, len(ids)) * 4
+    lists = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.table({"id": pa.array(ids[heads], pa.int64()), "key": pa.array(keys[heads], pa.int32()), "anchors": lists})
+
+
+def _met(rows: pa.RecordBatch) -> np.ndarray:
+    """Text number and anchor of all lists of a chunk's rows, packed."""
+    out = [np.zeros(0, U)]
+    for i, parts in enumerate(rows.column(3).to_pylist()):
+        out += [np.frombuffer(b, np.uint32).astype(U) | U(i << 32) for b in parts]
+    return np.concatenate(out)
+
+
 def _sent(units: Callable[[np.ndarray, np.ndarray], Units], plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids_all, keys_all, column = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            data, offsets = utf8(column)
-            cuts = np.unique(np.concatenate([[0, len(column)], np.searchsorted(offsets, np.arange(CHUNK, len(data), CHUNK))]))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # whole texts, so a chunk is longer only if one text is
-                ids, keys = ids_all[a:b], keys_all[a:b]
-                u = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for lo in range(0, len(u.value), CHUNK):
-                    made = list(_passages(u, ids, plan, lo, lo + CHUNK))
-                    for _, p in made:
-                        for part in p.values():
-                            if isinstance(part, dict):
-                                texts = part.pop("text")
-                                part["id"], part["key"] = ids[texts], keys[texts]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([pack(p) for _, p in made], pa.binary())], names=["bucket", "payload"])
+        for u, ids, keys, rows in _chunks(batches, units):
+            kept = _met(rows) if rows.num_columns > 3 else None
+            for lo in range(0, len(u.value), CHUNK):
+                made = list(_passages(u, ids, plan, lo, lo + CHUNK, kept))
+                for _, p in made:
+                    for part in p.values():
+                        if isinstance(part, dict):
+                            texts = part.pop("text")
+                            part["id"], part["key"] = ids[texts], keys[texts]
+                yield _payloads(made)
 
     return run
 
@@ -258,14 +355,22 @@ def text_key() -> Column:
     return F.hash(text_of())
 
 
-def repeated_windows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], compare: Callable[[dict, Plan], list[np.ndarray]], window: int, gram: int, by_place: bool, crowd: int = 48) -> DataFrame:
+def repeated_windows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], compare: Callable[[dict, Plan], list[np.ndarray]], window: int, gram: int, by_place: bool, crowd: int = 48, ask_first: bool = False) -> DataFrame:
     """(id, key, runs): for each document with any, the runs (first start, number of starts) of windows that also start earlier.
 
-    id is the doc_id (NO_ID for null), key a hash of the text. Documents that repeat both share their runs.
+    id is the doc_id (NO_ID for null), key a hash of the text. Documents that repeat both share their runs. With `ask_first` a
+    pass over the anchors alone finds those that the corpus holds more than once, and only their passages are sent; the buckets
+    then grow with the bytes of text.
     """
     buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    plan = Plan(window, gram, by_place, buckets, crowd)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_key().alias("key"), F.col("text"))
+    if ask_first:
+        buckets = max(buckets, (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // BUCKET)
+    plan = Plan(window, gram, by_place, buckets, crowd)
+    if ask_first:
+        asked = rows.mapInArrow(_asked(units, plan), "bucket int, payload binary")
+        lists = asked.groupBy("bucket").applyInArrow(_answered, _LISTS).groupBy("id", "key").agg(F.collect_list("anchors").alias("anchors"))
+        rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(lists, ["id", "key"])
     sent = rows.mapInArrow(_sent(units, plan), "bucket int, payload binary")
     found = durable(sent.groupBy("bucket").applyInArrow(_found(compare, plan), _FOUND))
     loose = found.filter("window is not null")
