@@ -85,7 +85,7 @@ class Model:
 
 
 def fit(texts: dict[str, list[str]], contexts_kept: int = 16_000, least: int = 4) -> Model:
-    """Trees of the most frequent contexts, counted over all languages. texts: by language."""
+    """Trees of the contexts with the greatest share in any one language, so that a language of few texts has its own. texts: by language."""
     languages = sorted(texts)
     counted = {}
     for name in languages:
@@ -99,7 +99,8 @@ def fit(texts: dict[str, list[str]], contexts_kept: int = 16_000, least: int = 4
     chosen = [np.zeros(1, np.int64), np.flatnonzero(totals[1])]
     for k in range(2, DEPTH + 1):
         seen = np.flatnonzero(totals[k] >= least)
-        best = seen[np.argsort(-totals[k][seen], kind="stable")][: contexts_kept // (DEPTH - 1)]
+        share = np.max([np.bincount(g // ALPHABET % cells[k], n, cells[k])[seen] / max(n.sum(), 1) for g, n in counted.values()], axis=0)
+        best = seen[np.argsort(-share, kind="stable")][: contexts_kept // (DEPTH - 1)]
         chosen.append(np.sort(best))
     first = np.cumsum([0] + [len(c) for c in chosen])
     longest = np.zeros(1, np.int32)  # context of k symbols -> its state, or that of its longest suffix in the tree
@@ -128,14 +129,14 @@ def fit(texts: dict[str, list[str]], contexts_kept: int = 16_000, least: int = 4
     return Model(languages, longest, bits)
 
 
-def sampled(docs: DataFrame, per_language: int, most_chars: int) -> dict[str, list[str]]:
-    """At most per_language training texts of each language, drawn by a hash of the id, each cut at most_chars."""
-    rows = docs.filter("lang is not null and text is not null").select("lang", "text", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("draw"))
-    drawn = rows.select("lang", "draw", "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("r") <= per_language)
-    # as many rows as languages times per_language
-    texts = rows.join(F.broadcast(drawn.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", F.substring("text", 1, most_chars).alias("text"))
+def sampled(docs: DataFrame, per_language: int) -> dict[str, list[str]]:
+    """At most per_language whole training texts of each language, drawn by a hash of the id, then of the text."""
+    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("draw"), F.xxhash64("text").alias("mark"))
+    drawn = rows.select("lang", "draw", "mark").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "mark"))).filter(F.col("r") <= per_language)
+    # as many rows as languages times per_language; rows that repeat id and text count once
+    texts = rows.join(F.broadcast(drawn.drop("r")), ["lang", "draw", "mark"]).select("lang", "draw", "mark", "text").dropDuplicates(["lang", "draw", "mark"])
     out: dict[str, list[str]] = {}
-    for r in texts.sort("lang", "text").collect():
+    for r in texts.sort("lang", "draw", "mark").collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 
@@ -148,14 +149,14 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, training: DataFrame, per_language: int = 300, most_chars: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, per_language: int = 300) -> DataFrame:
     """The columns of docs but `text`, with lang_pred and score (0 to 1) of each whole text.
 
-    The model is fitted on a bounded sample of `training`: at most per_language texts of each language, cut at
-    most_chars. A null text or one without a letter is `und` with score 0; so is every text if there is nothing to learn
+    The model is fitted on a bounded sample of `training`: at most per_language whole texts of each
+    language. A null text or one without a letter is `und` with score 0; so is every text if there is nothing to learn
     from. Ties go to the language that is first by name. Texts of any length are scored in pieces of bounded size.
     """
-    texts = sampled(training, per_language, most_chars)
+    texts = sampled(training, per_language)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts) if texts else None)
 
     def label(column: pa.Array) -> dict[str, pa.Array]:
