@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskbridge.llm.passages import Plan, Units, covered, repeated_windows, with_runs
+from riskbridge.llm.passages import Plan, Units, covered, repeated_windows, unzipped, with_runs
 
 WINDOW, GRAM = 100, 20
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -114,13 +114,14 @@ def byte_digests(docs: DataFrame, window: int = WINDOW, crowd: int = 48) -> Data
     each other. Other columns are ignored.
     """
     runs = repeated_windows(docs, byte_units, repeated, window, min(GRAM, window), True, crowd, ask_first=True)
-    both = with_runs(docs, runs)
+    both = with_runs(docs, runs, small=True)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             rows = []
-            for text, places, counts in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "counts")), strict=True):
-                data = (text or "").encode()
+            texts = unzipped(batch.column("text")).to_pylist()
+            for text, places, counts in zip(texts, *(batch.column(c).to_pylist() for c in ("places", "counts")), strict=True):
+                data = text or b""
                 if not places:
                     rows.append((len(data), 0, 0, sha256(data).hexdigest()))
                     continue

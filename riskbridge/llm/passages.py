@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from riskbridge.functions.durable import durable
 from riskbridge.llm.arrow import utf8
@@ -37,6 +38,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """The rows with each text compressed on its own, for joins that move texts; short texts compress better so than in the shuffle's blocks."""
+    names, at = docs.columns, docs.columns.index("text")
+    schema = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            raw = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
+            small = pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) for b in column.to_pylist()], pa.large_binary())
+
+
 class Hashes:
     """Hashes of runs of units, from running sums of powers."""
 
@@ -201,7 +221,8 @@ def _passages(u: Units, ids: np.ndarray, plan: Plan, lo: int, hi: int, kept: np.
 def _chunks(batches: Iterator[pa.RecordBatch], units: Callable[[np.ndarray, np.ndarray], Units]) -> Iterator[tuple[Units, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Units, ids, keys and rows of about CHUNK bytes of text."""
     for batch in batches:
-        data, offsets = utf8(batch.column(2))
+        text = batch.column(2)
+        data, offsets = utf8(unzipped(text).cast(pa.large_string()) if pa.types.is_binary(text.type) else text)
         cuts = np.unique(np.concatenate([[0, batch.num_rows], np.searchsorted(offsets, np.arange(CHUNK, len(data), CHUNK))]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # whole texts, so a chunk is longer only if one text is
             rows = batch.slice(a, b - a)
@@ -370,7 +391,7 @@ def repeated_windows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray],
     if ask_first:
         asked = rows.mapInArrow(_asked(units, plan), "bucket int, payload binary")
         lists = asked.groupBy("bucket").applyInArrow(_answered, _LISTS).groupBy("id", "key").agg(F.collect_list("anchors").alias("anchors"))
-        rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(lists, ["id", "key"])
+        rows = zipped(rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))).join(lists, ["id", "key"])
     sent = rows.mapInArrow(_sent(units, plan), "bucket int, payload binary")
     found = durable(sent.groupBy("bucket").applyInArrow(_found(compare, plan), _FOUND))
     loose = found.filter("window is not null")
@@ -381,9 +402,10 @@ def repeated_windows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray],
     return marks.groupBy("id", "key").agg(F.collect_set(F.struct("place", "count")).alias("runs"))
 
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, text, places, counts) of every document; both null where nothing repeats."""
+def with_runs(docs: DataFrame, runs: DataFrame, small: bool = False) -> DataFrame:
+    """(doc_id, text, places, counts) of every document; both null where nothing repeats. With `small` the texts come `zipped`."""
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), text_key().alias("key"))
+    rows = zipped(rows) if small else rows
     return rows.join(runs, ["id", "key"], "left").select("doc_id", "text", F.col("runs.place").alias("places"), F.col("runs.count").alias("counts"))
 
 
