@@ -3,17 +3,23 @@
 A page's containers are told by their path of tags and classes, numbers generalised. Every page scores those containers
 outside which it has no prose, only stray lines; the shares are added up per host and path in Spark, and the deepest path that
 has most of the host's votes wins. Pages are then read again by their host's path; a page with prose outside it uses
-its own. Menus, notices, adverts, forms, comments and the like never count as prose.
+its own. Menus, notices, adverts, forms, comments and the like never count as prose. A class or id tells them only if all
+words of one of its names do.
+
+A page's paths are a tree with links to parents, and shares are added up it once, so that time grows with the page's length, not
+with its depth.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskbridge.functions.durable import durable
 from riskbridge.llm.common import broadcast_if_small
@@ -31,15 +37,24 @@ NAMES = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus respond reply replies discussion reactions share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets toolbar skip search outbrain taboola hidden".split()
 )
+FRAME = set(
+    "area article articles bar block blog body bottom box button buttons col column container content entry fixed foot footer form global group head header heading holder icon icons inner item items js "
+    "left line link links list main more new news outer page panel post posts primary right row section site slot sticky stories story tab tabs text title top unit wrap wrapper zone".split()
+)  # words beside them that tell nothing
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# elements that the start of one ends: which, and where the search stops
+_CELL = (("td", "th"), ("tr",))
+ENDED_BY = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": _CELL, "th": _CELL}
 AGREED, MAJORITY = 0.8, 0.5
 STRAY = 40  # text outside links from which a line is prose wherever it stands
-_KEPT = re.compile(r"/(?:article|main|ul|ol|dl|table)(?=[./]|\Z)")
+KEPT = {"article", "main", "ul", "ol", "dl", "table"}
+LONGEST = 300  # characters from which a path is told by its hash
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 _NAME = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"[.!?\u2026][\"'\u2019\u201d)\]]*\Z")
 _BLANK = re.compile(r"\s+")
 
 
@@ -59,40 +74,82 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    if attributes.get("role") in ROLES:
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    named = {w for a in ("class", "id") for w in _NAME.findall(attributes.get(a, "").lower())}
-    return bool(named & NAMES) and not (in_article and named & NAMES <= {"header", "side", "foot", "bottom"})
+    return attributes.get("role") in ROLES or _named(tag, attributes, in_article)
 
 
-def blocks(html: str) -> Iterator[tuple[str, str, int, bool]]:
-    """(container path, text, characters inside links, in a heading of the first two ranks) of each block of text that may be prose, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path of containers, dropped, in an article
+def _named(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id names what isn't the article: all words of one name do, or are of those that tell nothing."""
+    if tag in ("body", "html", "article", "main"):
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(_NAME.findall(name))
+        if words & NAMES and words <= NAMES | FRAME and not (in_article and words & NAMES <= {"header", "side", "foot", "bottom"}):
+            return True
+    return False
+
+
+@dataclass
+class Paths:
+    """The container paths of a page as a tree; node 0 is the page, parents come before their children."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    name: list[str] = field(default_factory=lambda: [""])
+    depth: list[int] = field(default_factory=lambda: [0])
+    kept: list[bool] = field(default_factory=lambda: [False])  # in an article, list or table
+    _known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def child(self, of: int, tag: str, label: str) -> int:
+        node = self._known.get((of, label))
+        if node is None:
+            node = self._known[of, label] = len(self.parent)
+            name = f"{self.name[of]}/{label}"
+            self.parent.append(of)
+            self.name.append(name if len(name) <= LONGEST else "#" + md5(name.encode("utf-8", "replace"), usedforsecurity=False).hexdigest())
+            self.depth.append(self.depth[of] + 1)
+            self.kept.append(self.kept[of] or tag in KEPT)
+        return node
+
+
+@dataclass(frozen=True)
+class Block:
+    node: int
+    text: str
+    linked: int  # characters inside links
+    heading: bool  # in a heading of the first two ranks
+    paragraph: bool
+
+    @property
+    def worth(self) -> int:
+        """Characters, those in links a tenth, in tenths."""
+        return 10 * len(self.text) - 9 * min(self.linked, len(self.text))
+
+
+def read(html: str) -> tuple[Paths, list[Block]]:
+    """The paths and the blocks of text that may be prose, in page order."""
+    paths, found = Paths(), []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, dropped, in an article
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = links = 0
-    at = 0
+    linked = at = 0
 
-    def flush() -> Iterator[tuple[str, str, int, bool]]:
+    def flush() -> None:
         nonlocal linked
         if text:
             whole = _BLANK.sub(" ", unescape("".join(text))).strip()
             text.clear()
             if whole:
-                yield stack[-1][1], whole, linked, any(x[0] in ("h1", "h2") for x in stack)
+                found.append(Block(stack[-1][1], whole, linked, opened["h1"] + opened["h2"] > 0, opened["p"] > 0))
         linked = 0
 
-    def close(to: int) -> Iterator[tuple[str, str, int, bool]]:
-        nonlocal links
+    def close(to: int) -> None:
         while len(stack) > to:
             if stack[-1][0] in BLOCKS:
-                yield from flush()
-            if stack[-1][0] == "a":
-                links -= 1
-            stack.pop()
+                flush()
+            opened[stack.pop()[0]] -= 1
 
     def last(tags: tuple[str, ...], stop: tuple[str, ...]) -> int | None:
+        if not any(opened[t] for t in tags):
+            return None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 return i
@@ -104,7 +161,7 @@ def blocks(html: str) -> Iterator[tuple[str, str, int, bool]]:
         nonlocal linked
         if piece and not stack[-1][2]:
             text.append(piece)
-            if links > 0:
+            if opened["a"] > 0:
                 linked += len(piece)
 
     while m := _TOKEN.search(html, at):
@@ -116,15 +173,15 @@ def blocks(html: str) -> Iterator[tuple[str, str, int, bool]]:
         if m[1] or m[4]:
             i = last((tag,), ("td", "th", "table") if tag in ("p", "li", "div") else ())
             if i is not None:
-                yield from close(i)
+                close(i)
             elif tag in BLOCKS:
-                yield from flush()
+                flush()
             continue
         if tag in VOID:
             if tag == "br":
                 add(" ")
             elif tag == "hr":
-                yield from flush()
+                flush()
             continue
         raw = m[3] if m[2] else m[6]
         if tag in RAW:
@@ -132,59 +189,58 @@ def blocks(html: str) -> Iterator[tuple[str, str, int, bool]]:
             at = at if raw.endswith("/") else end.start() if end else len(html)
             continue
         if tag in BLOCKS:
-            yield from flush()
+            flush()
             i = last(("p",), ("td", "th", "table", "button", "object"))
             if i is not None:
-                yield from close(i)
-            i = {"li": last(("li",), ("ul", "ol")), "dt": last(("dt", "dd"), ("dl",)), "dd": last(("dt", "dd"), ("dl",)), "tr": last(("tr",), ("table",)), "td": last(("td", "th"), ("tr",)), "th": last(("td", "th"), ("tr",))}.get(tag)
-            if i is not None:
-                yield from close(i)
+                close(i)
+            if tag in ENDED_BY:
+                i = last(*ENDED_BY[tag])
+                if i is not None:
+                    close(i)
         _, path, gone, article = stack[-1]
         attributes = _attributes(raw)
         gone = gone or _dropped(tag, attributes, article)
         if tag in CONTAINERS and tag != "body":
-            path = f"{path}/{_label(tag, attributes)}"
-        if tag == "a":
-            links += 1
+            path = paths.child(path, tag, _label(tag, attributes))
+        opened[tag] += 1
         stack.append((tag, path, gone, article or tag in ("article", "main")))
     add(html[at:])
-    yield from close(1)
-    yield from flush()
+    close(1)
+    flush()
+    return paths, found
 
 
-def prefixes(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[: i + 1]) for i in range(len(parts))]
-
-
-def shares(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
+def shares(paths: Paths, found: list[Block]) -> dict[int, float]:
     """Share of the page's prose inside each container path that leaves none out; words in links count a tenth.
 
-    Left out may be links and stray short lines, up to a fifth of the page, but no headings, and nothing of an article, list or table.
+    Left out may be links and stray short lines, up to a fifth of the page, but no headings, no paragraph that ends as a sentence
+    does, and nothing of an article, list or table.
     """
-    held: dict[str, float] = {}
-    prose: dict[str, int] = {}
-    for path, text, linked, heading in found:
-        worth = max(len(text) - 0.9 * min(linked, len(text)), 0.0)
-        is_prose = 2 * linked < len(text) and (heading or worth >= STRAY or _KEPT.search(path) is not None)
-        for p in prefixes(path):
-            held[p] = held.get(p, 0.0) + worth
-            prose[p] = prose.get(p, 0) + is_prose
-    whole, least = held.get("", 0.0), AGREED if prose.get("") else 1.0
-    return {p: v / whole for p, v in held.items() if prose[p] == prose[""] and v >= least * whole} if whole > 0 else {}
-
-
-def deepest(held: dict[str, float]) -> str:
-    """The deepest path that leaves no prose out; of equally deep ones the fullest, then the first by name."""
-    return max(held, key=lambda p: (p.count("/"), held[p], [-ord(c) for c in p])) if held else ""
+    held, prose = [0] * len(paths.parent), [0] * len(paths.parent)
+    for b in found:
+        held[b.node] += b.worth
+        prose[b.node] += 2 * b.linked < len(b.text) and (b.heading or b.worth >= 10 * STRAY or paths.kept[b.node] or (b.paragraph and _SENTENCE.search(b.text) is not None))
+    for node in range(len(held) - 1, 0, -1):
+        held[paths.parent[node]] += held[node]
+        prose[paths.parent[node]] += prose[node]
+    least = AGREED if prose[0] else 1.0
+    return {node: v / held[0] for node, v in enumerate(held) if v and prose[node] == prose[0] and v >= least * held[0]} if held[0] else {}
 
 
 def main_text(html: str, path: str | None) -> str:
-    """Blocks inside the host's path, or the page's own path where the host has none or it would leave prose of the page out."""
-    found = list(blocks(html))
-    held = shares(found)
-    p = path if path and path in held else deepest(held)
-    return "\n\n".join(t for q, t, _, _ in found if q == p or q.startswith(p + "/") or not p)
+    """Blocks inside the host's path, or the page's own path where the host has none or it would leave prose of the page out.
+
+    The page's own is the deepest path that leaves no prose out; of equally deep ones the fullest, then the first by name.
+    """
+    paths, found = read(html)
+    held = shares(paths, found)
+    node = next((n for n in held if path and paths.name[n] == path), None)
+    if node is None:
+        node = max(held, key=lambda n: (paths.depth[n], held[n], [-ord(c) for c in paths.name[n]] if paths.depth[n] < 100 else [])) if held else 0
+    inside = [False] * len(paths.parent)
+    for n in range(len(inside)):
+        inside[n] = n == node or (n > 0 and inside[paths.parent[n]])
+    return "\n\n".join(b.text for b in found if inside[b.node])
 
 
 def _host(url):  # noqa: ANN001, ANN202
@@ -196,17 +252,19 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(h, p, v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, v in shares(list(blocks(x or ""))).items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.string(), pa.string(), pa.float64()), strict=True)], names=["host", "path", "share"])
-
-    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, share double")
+            out = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                paths, found = read(html or "")
+                out += [(host, paths.name[n], paths.depth[n], v) for n, v in shares(paths, found).items()]
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.float64()), strict=True)], names=["host", "path", "depth", "share"])
+
+    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, depth int, share double")
     # shares are added as whole millionths, so that the order of addition doesn't matter
-    added = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"))
-    depth = F.size(F.split("path", "/"))
-    top = Window.partitionBy("host")
-    agreed = added.withColumn("all", F.max("votes").over(top)).filter(F.col("votes") >= MAJORITY * F.col("all"))
-    best = F.max_by("path", F.struct(depth, "votes", "path"))
-    return agreed.groupBy("host").agg(best.alias("path"))
+    added = durable(cast.groupBy("host", "path", "depth").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes")))
+    # a host's highest count is added up as a plain maximum, so that a host of many paths is no task of its own
+    agreed = added.join(added.groupBy("host").agg(F.max("votes").alias("all")), "host").filter(F.col("votes") >= MAJORITY * F.col("all"))
+    return agreed.groupBy("host").agg(F.max_by("path", F.struct("depth", "votes", "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
