@@ -4,10 +4,14 @@ All of it is DataFrame expressions. Spans are found by splitting a text at a pat
 matches between them give every place. Patterns run on copies of the text in which single characters are exchanged, so
 that character classes suffice: no repeated groups, whose matching would overflow the stack on long runs.
 
-Candidates come from wider patterns (obfuscated addresses, numbers with any separators). Training counts the few
-hundred different feature vectors over all documents; the trees are fitted on those counts, and calibrated on
+Candidates come from wider patterns (obfuscated addresses, numbers with any separators). What is true is learnt from the fixed
+spans: each stands in its own context, as it is and rewritten into the forms that people hide it in (an address with "(at)" or
+blanks, a number without its plus). Negatives are candidates that fail their kind's check or are glued to a letter or digit,
+and those that look like no known span in any form; a candidate that looks like one is unknown, and not learnt from. Training
+counts the few hundred different feature vectors over all documents; the trees are fitted on those counts, and calibrated on
 the other half of the documents: for each kind the smallest score whose share of true spans reaches `precision`. A new span
-must also pass its kind's own check (Luhn, parts to 255, number of digits) and touch no fixed span.
+must also pass its kind's own check (letters at an address's end, Luhn, parts to 255, number of digits), be glued to nothing and
+touch no fixed span; of new spans that overlap the first stays.
 """
 
 from dataclasses import dataclass
@@ -90,21 +94,49 @@ def fixed_spans(df: DataFrame) -> DataFrame:
 
 # ---- candidates and their features
 
-_ADDRESS = r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[.]|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z0-9-]{1,63}){1,5}"
+_ADDRESS = r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]{1,63}(?:(?:[.]|\x20?[(\[]\x20?dot\x20?[)\]]\x20?)[A-Za-z0-9-]{1,63}){1,5}"
 _NUMBER = r"[+(]{0,2}[0-9][0-9\x20()./-]{6,40}[0-9]"
 FEATURES = ["digits", "longest", "marks", "brackets", "dots", "before", "after", "word"]
 
 
+def _kind_of_number(hit: Column) -> Column:
+    long = F.when(hit.startswith("+"), PHONE).otherwise(CARD)
+    return F.when(F.size(F.split(hit, "[.]", -1)) == 4, IP).when(F.length(_digits(hit)) >= 12, long).otherwise(PHONE)
+
+
 def _candidates(df: DataFrame) -> DataFrame:
     """Adds `cand`: overlapping wider spans."""
     body = F.col("body")
     df = _matches(df, "body", _ADDRESS, EMAIL, F.contains(body, F.lit("@")) | body.rlike(r"[(\[]\x20?at\x20?[)\]]"), "_a")
     df = _matches(df, "body", _NUMBER, PHONE, body.rlike("[0-9][0-9 ()./-]{7}"), "_n")
-    of = lambda s: F.when(F.size(F.split(s["hit"], "[.]", -1)) == 4, IP).when(F.length(_digits(s["hit"])) >= 12, F.when(s["hit"].startswith("+"), PHONE).otherwise(CARD)).otherwise(PHONE)
-    named = F.transform("_n", lambda s: F.struct(s["at"].alias("at"), of(s).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")))
+    named = F.transform("_n", lambda s: F.struct(s["at"].alias("at"), _kind_of_number(s["hit"]).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")))
     return df.withColumn("cand", F.concat("_a", named)).drop("_a", "_n")
 
 
+# forms of "@" and of the dots after it
+HIDDEN = [(" (at) ", " (dot) "), ("(at)", "(dot)"), (" (at) ", "."), ("(at)", "."), (" @ ", ".")]
+
+
+def _rewritten(base: Column) -> Column:
+    """The fixed spans in other forms, at their places."""
+
+    def forms(s: Column) -> Column:
+        local, host = F.substring_index(s["hit"], "@", 1), F.substring_index(s["hit"], "@", -1)
+        mails = [F.concat(local, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))) for at, dot in HIDDEN]
+        # as a candidate is cut: it starts with a digit or a bracket and ends with a digit
+        plain = F.regexp_replace(s["hit"], r"^\+", "")
+        made = lambda hit, kind: F.struct(s["at"].alias("at"), kind.alias("kind"), s["end"].alias("end"), hit.alias("hit"))
+        return F.when(s["kind"] == EMAIL, F.array(*[made(m, F.lit(EMAIL)) for m in mails])).when(s["kind"] == PHONE, F.array(made(plain, _kind_of_number(plain))))
+
+    return F.filter(F.flatten(F.transform(F.filter(base, lambda s: s["kind"].isin(EMAIL, PHONE)), forms)), lambda s: _sound(s))
+
+
+def _sound(s: Column) -> Column:
+    """Whether a span passes its kind's check."""
+    mail = s["hit"].rlike("[A-Za-z]{2}$")
+    return F.when(s["kind"] == EMAIL, mail).when(s["kind"] == IP, _is_ip(s["hit"])).when(s["kind"] == CARD, _is_card(s["hit"])).otherwise(_is_phone(s["hit"]))
+
+
 def _side(c: Column) -> Column:
     """Kind of a neighbouring character: none, white space, letter, digit, other."""
     return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
@@ -116,9 +148,10 @@ def _features(body: Column, s: Column) -> Column:
     before = F.when(s["at"] > 0, F.substring(body, s["at"], F.lit(1))).otherwise("")
     lead = F.when(s["at"] > 0, F.substring(body, F.greatest(s["at"] - 11, F.lit(1)), F.least(s["at"], F.lit(12)))).otherwise("")
     number = lambda x, most: F.least(x, F.lit(most)).cast("int")
+    few = lambda x, most: F.when(s["kind"] == EMAIL, number(x, 1)).otherwise(number(x, most))  # noqa: E731  an address has digits or none
     return F.struct(
-        s["kind"].alias("kind"), number(F.length(_digits(hit)), 20).alias("digits"),
-        number(F.array_max(F.transform(F.split(hit, "[^0-9]+", -1), F.length)), 17).alias("longest"),
+        s["kind"].alias("kind"), few(F.length(_digits(hit)), 20).alias("digits"),
+        few(F.array_max(F.transform(F.split(hit, "[^0-9]+", -1), F.length)), 17).alias("longest"),
         number(F.length(F.regexp_replace(hit, r"[^\x20/-]", "")), 6).alias("marks"), hit.rlike(r"[(\[]").cast("int").alias("brackets"),
         number(F.length(F.regexp_replace(hit, "[^.]", "")), 5).alias("dots"), _side(before).alias("before"),
         _side(F.substring(body, s["end"] + 1, F.lit(1))).alias("after"), lead.rlike(r"\p{L}\s$").cast("int").alias("word"),
@@ -191,18 +224,46 @@ def boosted(rows: list[dict], rounds: int = 20, rate: float = 0.4, precision: fl
     return Model(trees, threshold)
 
 
+GOOD, BAD, UNKNOWN = range(3)
+
+
 def _true(s: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["at"] <= s["at"] + 1) & (b["end"] >= s["end"]) & (b["kind"] == s["kind"]))
 
 
+def _glued(f: Column) -> Column:
+    return f["before"].isin(2, 3) | f["after"].isin(2, 3)
+
+
+def examples(rows: list[dict]) -> list[dict]:
+    """Counts to learn from, of counts by fold, vector and label: the unknown are negative where no known span looks alike."""
+    names = ["kind", *FEATURES]
+    like = {tuple(r[f] for f in names) for r in rows if r["label"] == GOOD}
+    out: dict[tuple, dict] = {}
+    for r in rows:
+        vector = tuple(r[f] for f in names)
+        if r["label"] == UNKNOWN and vector in like:
+            continue
+        row = out.setdefault((r["fold"], vector), dict(zip(names, vector, strict=True)) | {"fold": r["fold"], "n": 0, "good": 0})
+        row["n"] += r["n"]
+        row["good"] += r["n"] if r["label"] == GOOD else 0
+    return [out[k] for k in sorted(out)]
+
+
 def train(docs: DataFrame, rounds: int = 20, precision: float = 0.98) -> Model:
     """Counts of feature vectors over all documents; they are few: features are small numbers, most of them tied to the format."""
     rows = _candidates(fixed_spans(docs.select("doc_id", text_of().alias("body"))))
-    found = F.transform("cand", lambda s: F.struct(_features(F.col("body"), s).alias("f"), _true(s, F.col("base")).alias("good")))
+    body = F.col("body")
+
+    def labelled(s: Column) -> Column:
+        f = _features(body, s)
+        return F.struct(f.alias("f"), F.when(_true(s, F.col("base")), GOOD).when(~_sound(s) | _glued(f), BAD).otherwise(UNKNOWN).alias("label"))
+
+    known = F.transform(_rewritten(F.col("base")), lambda s: F.struct(_features(body, s).alias("f"), F.lit(GOOD).alias("label")))
+    found = F.concat(F.transform("cand", labelled), known)
     flat = rows.select((F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 2).alias("fold"), F.explode_outer(found).alias("c")).filter("c is not null")
-    counts = flat.groupBy("fold", "c.f").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.good").alias("good"))
-    seen = counts.orderBy(F.desc("n"), "fold", "f").select("fold", "f.*", "n", "good").collect()
-    return boosted([r.asDict() for r in seen], rounds, precision=precision)
+    counts = flat.groupBy("fold", "c.f", "c.label").agg(F.count(F.lit(1)).alias("n"))
+    return boosted(examples([r.asDict() for r in counts.select("fold", "f.*", "label", "n").collect()]), rounds, precision=precision)
 
 
 def _told(spans: Column) -> Column:
@@ -221,9 +282,12 @@ def personal_data(docs: DataFrame, rounds: int = 20, precision: float = 0.98) ->
     df = _candidates(df)
     if model.threshold:
         high = lambda s: F.coalesce(*[F.when(s["kind"] == k, model.score(_features(F.col("body"), s)) >= t) for k, t in model.threshold.items()], F.lit(False))
-        sound = lambda s: F.when(s["kind"] == IP, _is_ip(s["hit"])).when(s["kind"] == CARD, _is_card(s["hit"])).when(s["kind"] == PHONE, _is_phone(s["hit"])).otherwise(True)
         free = lambda s: ~F.exists("base", lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]))
-        df = df.withColumn("more", F.when(F.size("cand") > 0, F.filter("cand", lambda s: free(s) & sound(s) & high(s))).otherwise(F.expr(_NONE)))
+        fit = lambda s: free(s) & _sound(s) & ~_glued(_features(F.col("body"), s)) & high(s)
+        df = df.withColumn("more", F.when(F.size("cand") > 0, F.array_sort(F.filter("cand", fit))).otherwise(F.expr(_NONE)))
+        # matches of one pattern don't overlap, so a span can only overlap the first of the other pattern's before it
+        overlaps = lambda s: F.exists("more", lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]) & ((b["at"] < s["at"]) | ((b["at"] == s["at"]) & (b["kind"] < s["kind"]))))
+        df = df.withColumn("more", F.filter("more", lambda s: ~overlaps(s)))
     else:
         df = df.withColumn("more", F.expr(_NONE))
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
