@@ -281,10 +281,13 @@ def personal_data(docs: DataFrame, rounds: int = 20, precision: float = 0.98) ->
     df = fixed_spans(docs.select("doc_id", text_of().alias("body")))
     df = _candidates(df)
     if model.threshold:
-        high = lambda s: F.coalesce(*[F.when(s["kind"] == k, model.score(_features(F.col("body"), s)) >= t) for k, t in model.threshold.items()], F.lit(False))
+        # features once per candidate, in a column of their own
+        span = lambda s, *more: F.struct(*[s[c].alias(c) for c in ("at", "kind", "end", "hit")], *more)
+        df = df.withColumn("told", F.when(F.size("cand") > 0, F.transform("cand", lambda s: span(s, _features(F.col("body"), s).alias("f")))))
+        least = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(t)) for k, t in model.threshold.items()])
         free = lambda s: ~F.exists("base", lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]))
-        fit = lambda s: free(s) & _sound(s) & ~_glued(_features(F.col("body"), s)) & high(s)
-        df = df.withColumn("more", F.when(F.size("cand") > 0, F.array_sort(F.filter("cand", fit))).otherwise(F.expr(_NONE)))
+        fit = lambda s: ~_glued(s["f"]) & free(s) & (model.score(s["f"]) >= least(s)) & _sound(s)
+        df = df.withColumn("more", F.coalesce(F.array_sort(F.transform(F.filter("told", fit), lambda s: span(s))), F.expr(_NONE)))
         # matches of one pattern don't overlap, so a span can only overlap the first of the other pattern's before it
         overlaps = lambda s: F.exists("more", lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]) & ((b["at"] < s["at"]) | ((b["at"] == s["at"]) & (b["kind"] < s["kind"]))))
         df = df.withColumn("more", F.filter("more", lambda s: ~overlaps(s)))
