@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskbridge.functions.collapse import repeats
+from riskbridge.functions.durable import durable
+
 Centres = list[list[float]]
 
 
@@ -113,7 +116,7 @@ def fit_kmeans(
 
     `draw` distinct points with the smallest hashes, so the same on every layout, seed and settle the `starts`. A start rests when its
     centres moved by less than `tolerance` of the inputs' mean spread, squared, or after `passes` passes; resting starts
-    leave the passes, and a last one takes the sums of all.
+    leave the passes, and a last one takes the sums of all. Equal points pass as one, with their weight, where that halves the rows at least.
     """
     names = list(cols)
     data = rows.select(*[c.cast("double").alias(n) for n, c in cols.items()], (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"))
@@ -125,6 +128,8 @@ def fit_kmeans(
     if not points:
         raise ValueError("no rows to cluster")
     x, w = np.array([[p[n] for n in names] for p in points]), np.array([p["_w"] for p in points])
+    if repeats(data, names):
+        data = durable(data.groupBy(*names).agg(F.sum("_w").alias("_w")))
     spread = float(np.average(x.var(axis=0)))
     moving = {s: _settled(x, w, _seeds(x, w, k, np.random.default_rng([seed, s]))).tolist() for s in range(starts)}
     resting: dict[int, Centres] = {}

@@ -284,3 +284,51 @@ def test_few_rows(rows):
     assert forests.isolation_forest(few).count() == 0 and forests.benchmark_premium(few).count() == 0
     assert neural.autoencoder_scores(few).count() == 0 and neural.neural_pricing(few).count() == 0
     assert clusters.silhouette(few).first().SILHOUETTE == 0.0
+
+
+def test_equal_inputs_pass_as_one(spark):
+    """Loss, gradient and score of rows added up by their inputs are those of the rows, with and without targets among the inputs."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.integers(0, 4, 900) / 2, "b": rng.integers(0, 3, 900) - 1.0, "y": rng.normal(size=900)})
+    pdf["_hold"] = rng.random(900) < 0.2
+    df = spark.createDataFrame(pdf).repartition(3)
+    for targets in (["y"], ["a", "b"]):
+        net = Net.start((2, 5, len(targets)))
+        small = neural.collapsed(df, ["a", "b"], targets)
+        assert small.count() <= 24
+        one, all_ = neural.one_pass(small, net, ["a", "b"], targets), neural.one_pass(df, net, ["a", "b"], targets)
+        assert one.gradient == pytest.approx(all_.gradient, rel=1e-9, abs=1e-12)
+        assert (one.loss, one.score) == (pytest.approx(all_.loss, rel=1e-9), pytest.approx(all_.score, rel=1e-9))
+        assert (one.rows, one.held) == (all_.rows, all_.held)
+
+
+def test_repeated_rows_are_not_passed_again(spark, monkeypatch):
+    """Ten policies a location: networks and centres go over each location once, and learn what all rows say."""
+    xs = spark.range(3_000).select(
+        F.lit("curr").alias("PERIOD"), F.lit("Commercial").alias("SEGMENT"), F.col("id").cast("string").alias("ACCNTNUM"),
+        F.lit("p").alias("POLICYNUM"), F.lit("l").alias("LOCNUM"), (F.col("id") % 50 / 10).alias("a"), F.randn(2).alias("y"),
+    )
+    data = durable(xs)
+    from riskbridge.operators import kmeans
+
+    seen = []
+    real, real_pass = neural.one_pass, kmeans._pass
+    monkeypatch.setattr(neural, "one_pass", lambda d, *more: seen.append(d.count()) or real(d, *more))
+    monkeypatch.setattr(kmeans, "_pass", lambda d, *more: seen.append(d.count()) or real_pass(d, *more))
+    neural.fit_net(data, ["a"], ["y"], (4,), 2)
+    fit = fit_kmeans(data, {"a": F.col("a")}, 3)
+    assert max(seen) <= 100
+    monkeypatch.setattr(kmeans, "repeats", lambda *_: False)
+    assert fit_kmeans(data, {"a": F.col("a")}, 3).centres == fit.centres
+
+
+def test_only_what_models_need_is_landed(spark, monkeypatch, tmp_path):
+    from riskbridge.operators.features import LOCATION_INPUTS
+    from riskbridge.plans import queries as q
+
+    landed = []
+    monkeypatch.setattr(q, "durable", lambda df: landed.append(df) or df)
+    q.queries()["audit_by_value"](spark, SF)
+    loc, pol = landed
+    assert set(loc.columns) == {"PERIOD", "SEGMENT", "ACCNTNUM", *LOCATION_INPUTS} and len(pol.columns) == 6
+    assert {r[0] for r in loc.select("PERIOD").distinct().collect()} == {"curr"}
