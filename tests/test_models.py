@@ -332,3 +332,18 @@ def test_only_what_models_need_is_landed(spark, monkeypatch, tmp_path):
     loc, pol = landed
     assert set(loc.columns) == {"PERIOD", "SEGMENT", "ACCNTNUM", *LOCATION_INPUTS} and len(pol.columns) == 6
     assert {r[0] for r in loc.select("PERIOD").distinct().collect()} == {"curr"}
+
+
+def test_path_lengths():
+    """Alike to walking down each tree row by row, missing values to the right."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)).round(1)
+    x[::50, 1], x[7, 2] = np.nan, np.inf
+    grown = [forests.grow_tree(rng.normal(size=(64, 3)), s) for s in range(4)]
+    got = forests.path_lengths(x, [tuple(np.asarray(g[k]) for k in ("feature", "cut", "left", "length")) for g in grown], 6)
+    for r, row in enumerate(x):
+        for t, g in enumerate(grown):
+            at = 0
+            while g["feature"][at] >= 0:
+                at = g["left" if row[g["feature"][at]] <= g["cut"][at] else "right"][at]
+            assert got[r, t] == g["length"][at]
