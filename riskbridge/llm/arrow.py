@@ -1,6 +1,7 @@
 """Texts as Arrow hands them over: one run of UTF-8 bytes and the places where each text starts."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
+T = TypeVar("T")
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(owner: Hashable, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task, for one owner at a time: another one's goes, as workers outlive a stage."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty texts; the bytes aren't copied."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from riskbridge.llm.arrow import per_batch
+from riskbridge.llm.arrow import kept, per_batch
 
 WORD_END = "Ā"  # follows the last byte of a word; bytes themselves are written as U+0000 to U+00FF
 # Unicode white space.
@@ -183,14 +183,8 @@ class Vocabulary:
         return self.block[np.repeat(self.offset[ids] - before, size) + np.arange(size.sum())].tobytes()[:-1]
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(source) -> Vocabulary:  # noqa: ANN001  a Spark broadcast of the file's text
-    if id(source) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[id(source)] = Vocabulary(source.value)
-    return _LOADED[id(source)]
+    return kept(("bpe", id(source)), lambda: Vocabulary(source.value))
 
 
 def _broadcast(docs: DataFrame, path: str):  # noqa: ANN202

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskbridge.llm.arrow import per_batch, utf8
+from riskbridge.llm.arrow import kept, per_batch, utf8
 from riskbridge.llm.common import packed
 
 UND = "und"
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, training: DataFrame, per_language: int = 300) -> D
     model = docs.sparkSession.sparkContext.broadcast(fit(texts) if texts else None)
 
     def label(column: pa.Array) -> dict[str, pa.Array]:
-        m = model.value
+        m = kept(("language", id(model)), lambda: model.value)
         if m is None:
             return {"lang_pred": pa.array([UND] * len(column), pa.string()), "score": pa.array(np.zeros(len(column)))}
         cost = m.costs(column)
