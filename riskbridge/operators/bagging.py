@@ -4,9 +4,12 @@ Every tree weighs every row by a Poisson draw from a hash of row and tree, so ne
 is one Spark job: each task drops its rows down all trees at once and adds up weight and target per node, feature and
 bin; the sums meet in Spark, where the best cut of each node is chosen. Only cuts, a few per node, reach the driver. The target is
 rounded to 2^-20 of its spread, so its sums are whole numbers that addition in any order gives alike.
+
+Rows whose inputs share all bins (a cell) go the same way in every tree. Where cells hold several rows, each tree's weight and target are
+added up per cell in one pass over the rows, and the levels go over cells, whose number has a bound whatever the rows.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 
 from riskbridge.functions.durable import durable
 from riskbridge.functions.order import bin_edges
+from riskbridge.functions.skew import hot_keys
 
 BINS = 32
+BIN_BITS = 5
+LEAST = 1.5  # rows per cell from which cells are worth adding up
+CELLS = 1 << 15  # that a task holds before it sends their sums on, 26 MB of 50 trees
 TASKS = 1024  # a task's sums are a few MB whatever its rows, so more tasks only send more of them
 STEP = 2.0**-20
 
@@ -37,7 +44,12 @@ def uniform(rows: np.ndarray, salt: int) -> np.ndarray:
 def poisson(u: np.ndarray, rate: float) -> np.ndarray:
     """Poisson draws by inversion of uniform numbers."""
     terms = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, 40)]))
-    return np.searchsorted(np.cumsum(terms), u, side="right").astype(float)
+    out, most = np.zeros(len(u)), u.max(initial=0.0)
+    for upto in np.cumsum(terms):
+        if upto > most:  # few terms do, as draws are small
+            break
+        out += u >= upto
+    return out
 
 
 @dataclass(frozen=True)
@@ -62,8 +74,20 @@ class Forest:
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        depth = int(np.log2(self.feature.shape[1] + 1))
-        return np.mean([self.value[t][self.nodes(x, t, depth)] for t in range(len(self.feature))], axis=0)
+        """One tree after the other; below a leaf its value is repeated, so that every row takes the same number of steps."""
+        n, depth = len(x), int(np.log2(self.feature.shape[1] + 1)) - 1
+        columns, row = np.ascontiguousarray(x.T).reshape(-1), np.arange(n)
+        total = np.zeros(n)
+        for feature, cut, value in zip(self.feature, self.cut, self.value, strict=True):
+            value = value.copy()
+            for i in np.flatnonzero(feature[: 2**depth - 1] < 0):  # parents come first
+                value[2 * i + 1 : 2 * i + 3] = value[i]
+            start, at = np.maximum(feature, 0) * n, np.zeros(n, np.intp)
+            for _ in range(depth):
+                right = ~(columns.take(start.take(at) + row) <= cut.take(at))
+                at = 2 * at + 1 + right
+            total += value.take(at)
+        return total / len(self.feature)
 
     def importances(self) -> np.ndarray:
         """Share of the gain by feature, averaged over trees; they add up to 1 if any tree has a cut."""
@@ -100,6 +124,71 @@ def best_cuts(sums: np.ndarray, allowed: np.ndarray) -> tuple:
     return int(f), int(b), float(gain[f, b]), *whole, *left[f, b]
 
 
+def _tree_weights(h: np.ndarray, y: np.ndarray, weights: Callable[[np.ndarray, int], np.ndarray], trees: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Weight and weighted target of rows in each tree."""
+    for t in range(trees):
+        w = weights(h, t)
+        yield w, w * y
+
+
+def _cell_sums(
+    data: DataFrame, inputs: list[str], cuts: list[np.ndarray], target: str, each: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], trees: int
+) -> DataFrame | None:
+    """Weight `_w` and weighted target `_wy` of each tree (from `each`), added up over the rows of a cell; None if cells hold about one row.
+
+    Inputs become the upper edges of their bins, which pass all cuts as the rows do. Rows are dealt by cell, those of hot cells over
+    several tasks; a cell may come several times.
+    """
+    if len(inputs) * BIN_BITS > 60:
+        return None
+    edges = [np.append(c, np.inf) for c in cuts]
+
+    @F.pandas_udf("long")
+    def cell(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for series in batches:
+            out = np.zeros(len(series[0]), np.int64)
+            for s, c in zip(series, cuts, strict=True):
+                out = (out << BIN_BITS) | np.searchsorted(c, s.to_numpy(float), "left")
+            yield pd.Series(out)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots: dict[int, int] = {}
+        sums = np.zeros((0, 2 * trees))
+
+        def taken() -> pd.DataFrame:
+            cells, found = np.fromiter(slots, np.int64, len(slots)), sums[: len(slots)]
+            out = {c: e[(cells >> (BIN_BITS * i)) & (BINS - 1)] for i, (c, e) in enumerate(zip(inputs[::-1], edges[::-1], strict=True))}
+            return pd.DataFrame({**{c: out[c] for c in inputs}, "_w": list(found[:, :trees]), "_wy": list(found[:, trees:])})
+
+        for pdf in batches:
+            cells, at = np.unique(pdf["_cell"].to_numpy(), return_inverse=True)
+            mine = [slots.setdefault(c, len(slots)) for c in cells.tolist()]
+            if len(slots) > len(sums):
+                sums = np.concatenate([sums, np.zeros((max(len(slots), 2 * len(sums)) - len(sums), 2 * trees))])
+            part = np.empty((2 * trees, len(cells)))
+            for t, (w, wy) in enumerate(each(pdf["_h"].to_numpy(), pdf[target].to_numpy(float))):
+                part[t], part[trees + t] = np.bincount(at, w, len(cells)), np.bincount(at, wy, len(cells))
+            sums[mine] += part.T
+            if len(slots) > CELLS:
+                yield taken()
+                slots, sums = {}, np.zeros((0, 2 * trees))
+        if slots:
+            yield taken()
+
+    rows = durable(data.select(cell(*inputs).alias("_cell"), F.col(target).cast("double").alias(target), "_h"))
+    counts = durable(rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")))
+    found = counts.agg(F.count(F.lit(1)).alias("cells"), F.sum("_rows").alias("rows")).first()
+    if found.rows is None or found.rows < LEAST * found.cells:
+        return None
+    hot = hot_keys(rows, ["_cell"], counts=counts)
+    piece = F.lit(0)
+    if hot is not None:
+        rows, piece = rows.join(hot, "_cell", "left"), F.coalesce(F.pmod(F.xxhash64("_h"), F.col("_parts")), F.lit(0))
+    dealt = rows.withColumn("_piece", piece).repartition("_cell", "_piece").select("_cell", target, "_h")
+    schema = ", ".join(f"`{c}` double" for c in inputs) + ", _w array<double>, _wy array<double>"
+    return durable(dealt.mapInPandas(added, schema))
+
+
 def fit_forest(
     rows: DataFrame, inputs: list[str], target: str, trees: int = 50, depth: int = 5, rate: float = 1.0, features_per_node: int | None = None, seed: int = 42
 ) -> Forest:
@@ -118,14 +207,19 @@ def fit_forest(
     def weights(h: np.ndarray, tree: int) -> np.ndarray:
         return poisson(uniform(h, salt(tree)), rate)
 
+    def units(y: np.ndarray) -> np.ndarray:
+        return np.round((y - middle) / spread / STEP)
+
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = pdf["_h"].to_numpy()
             yield pdf[np.any([uniform(h, salt(t)) >= np.exp(-rate) for t in range(trees)], axis=0)] if len(pdf) else pdf
 
     if rate * trees < 1:  # most rows are in no tree
-        data = data.mapInPandas(drawn, data.schema)
-    data = durable(data)
+        data = durable(data.mapInPandas(drawn, data.schema))
+    summed_cells = _cell_sums(data, inputs, cuts, target, lambda h, y: _tree_weights(h, units(y), weights, trees), trees)
+    by_cell = summed_cells is not None
+    data = summed_cells if by_cell else data if rate * trees < 1 else durable(data)
     parts = data.rdd.getNumPartitions()
     data = data.coalesce(TASKS) if parts > TASKS else data
     n_nodes, n = 2 ** (depth + 1) - 1, len(inputs)
@@ -140,17 +234,19 @@ def fit_forest(
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x, h = pdf[inputs].to_numpy(float), pdf["_h"].to_numpy()
-                y = np.round((pdf[target].to_numpy(float) - middle) / spread / STEP)
+                x = pdf[inputs].to_numpy(float)
+                if by_cell:
+                    each = zip(*(np.ascontiguousarray(np.stack(pdf[c]).T) for c in ("_w", "_wy")), strict=True)
+                else:
+                    each = _tree_weights(pdf["_h"].to_numpy(), units(pdf[target].to_numpy(float)), weights, trees)
                 bins = np.column_stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)])
-                for t in range(trees):
-                    w = weights(h, t)
+                for t, (w, wy) in enumerate(each):
                     at = forest.nodes(x, t, level)
                     mine = np.flatnonzero((w > 0) & (at >= first) & live[t][at])
                     for f in range(n):
                         cell = ((at[mine] - first) * n + f) * BINS + bins[mine, f]
                         flat = sums[t].reshape(-1, 2)
-                        for k, v in ((0, w[mine]), (1, w[mine] * y[mine])):
+                        for k, v in ((0, w[mine]), (1, wy[mine])):
                             flat[:, k] += np.bincount(cell, v, minlength=len(flat))
             for t, i in zip(*np.nonzero(live[:, first : first + wide]), strict=True):
                 if sums[t, i, :, :, 0].any():

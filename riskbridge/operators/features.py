@@ -46,9 +46,9 @@ def features(loc: DataFrame, pol: DataFrame, period: str | None = S.CURRENT, as_
     )
 
 
-def model_rows(loc: DataFrame, pol: DataFrame, period: str | None = S.CURRENT, extra: list[str] = EXTRA) -> DataFrame:
+def model_rows(loc: DataFrame, pol: DataFrame, period: str | None = S.CURRENT, extra: list[str] = EXTRA, inputs: list[str] = RISK_FEATURES) -> DataFrame:
     """The feature table that models read many times, written once in the shared folder."""
-    return durable(features(loc, pol, period).select(*ROW_KEYS, *extra, *RISK_FEATURES).fillna(0.0))
+    return durable(features(loc, pol, period).select(*ROW_KEYS, *extra, *inputs).fillna(0.0))
 
 
 def too_few(rows: DataFrame, least: int = MIN_ROWS) -> bool:

@@ -12,7 +12,7 @@ from riskbridge.functions.durable import scratch_dir, durable
 from riskbridge.functions.order import sample_n
 from riskbridge.functions.scaling import fit_robust, fit_standard, scaled
 from riskbridge.operators import clusters, features, forests, merge, mom, neural, profile, stats
-from riskbridge.operators.features import EXTRA, LOCATION_INPUTS, POLICY_INPUTS, RISK_FEATURES, model_rows
+from riskbridge.operators.features import BENCHMARK_FEATURES, EXTRA, LOCATION_INPUTS, POLICY_INPUTS, RISK_FEATURES, model_rows
 from riskbridge.sources.fixtures import locations, policies
 from riskbridge.sources.ingest import Extract, read_extract
 
@@ -61,8 +61,10 @@ def _on_landed(
     return lambda spark, sf: op(landed(locations(spark, sf), of_loc), landed(policies(spark, sf), of_pol))
 
 
-def _on_model_rows(op: Callable[[DataFrame], DataFrame], period: str | None = S.CURRENT, extra: list[str] = EXTRA) -> Query:
-    return _on_landed(lambda l, p: op(model_rows(l, p, period, extra)), LOCATION_INPUTS, POLICY_INPUTS, period)
+def _on_model_rows(
+    op: Callable[[DataFrame], DataFrame], period: str | None = S.CURRENT, extra: list[str] = EXTRA, inputs: list[str] = RISK_FEATURES
+) -> Query:
+    return _on_landed(lambda l, p: op(model_rows(l, p, period, extra, inputs)), LOCATION_INPUTS, POLICY_INPUTS, period)
 
 
 def _on_drift_values(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -273,7 +275,9 @@ def queries() -> dict[str, Query]:
         "geo_zones_weighted": _on_model_rows(lambda r: clusters.geo_zones(r, weighted=True)),
         "covariate_shift": _on_model_rows(forests.covariate_shift, None, []),
         "benchmark_premium": _on_model_rows(forests.benchmark_premium),
-        "r2": _on_model_rows(lambda r: forests.r2(forests.benchmark_premium(r), "BLANPREAMT", "BENCHMARK_PREMIUM")),
+        "r2": _on_model_rows(
+            lambda r: forests.r2(forests.benchmark_premium(r), "BLANPREAMT", "BENCHMARK_PREMIUM"), extra=[], inputs=[*BENCHMARK_FEATURES, "BLANPREAMT"]
+        ),
         "isolation_forest": _on_model_rows(forests.isolation_forest),
         "autoencoder_scores": _on_model_rows(neural.autoencoder_scores),
         "neural_pricing": _on_model_rows(neural.neural_pricing),
