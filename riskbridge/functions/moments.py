@@ -1,4 +1,4 @@
-"""Count, means and covariances of several columns from one aggregate."""
+"""Count, means and covariances of several columns."""
 
 from dataclasses import dataclass
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Moments:
-    """Rows, means and sample covariances. Spark merges the partial co-moments of tasks, so nothing is centred beforehand."""
+    """Rows, means and sample covariances."""
 
     names: list[str]
     count: int
@@ -26,20 +26,19 @@ class Moments:
 
 
 def moments(df: DataFrame, cols: dict[str, Column]) -> Moments:
-    """Moments of the named columns over all rows, from one scan; fewer than two rows have no covariance (0)."""
+    """Moments of the named columns over all rows, which hold no nulls; fewer than two rows have no covariance (0).
+
+    Two scans, the means first: products about them are plain sums, which Spark compiles to short methods, unlike `covar_samp` of every pair.
+    """
     names = list(cols)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = (
-        df.select(*[c.cast("double").alias(n) for n, c in cols.items()])
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(n).alias(f"m_{n}") for n in names],
-            *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-        )
-        .first()
-    )
+    rows = df.select(*[c.cast("double").alias(n) for n, c in cols.items()])
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m_{n}") for n in names]).first()
+    means = {n: first[f"m_{n}"] or 0.0 for n in names}
+    about = rows.select(*[(F.col(n) - F.lit(m)).alias(n) for n, m in means.items()])
+    sums = about.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in pairs]).first()
     table = np.zeros((len(names), len(names)))
     for a, b in pairs:
         i, j = names.index(a), names.index(b)
-        table[i, j] = table[j, i] = row[f"c_{a}_{b}"] or 0.0
-    return Moments(names, row["n"], np.array([row[f"m_{n}"] or 0.0 for n in names]), table)
+        table[i, j] = table[j, i] = (sums[f"c_{a}_{b}"] or 0.0) / max(first["n"] - 1, 1)
+    return Moments(names, first["n"], np.array(list(means.values())), table)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskbridge.functions import moments as moments_module
 from riskbridge.operators import bagging, features, forests
 from riskbridge.plans import queries as plans
 
@@ -56,3 +57,14 @@ def test_r2_lands_only_what_the_forest_reads(spark, monkeypatch):
     monkeypatch.setattr(forests, "benchmark_premium", lambda r: seen.append(r.columns) or r.withColumn("BENCHMARK_PREMIUM", F.lit(0.0)))
     plans.queries()["r2"](spark, "/root/testdata/sf0.001").collect()
     assert seen == [[*features.ROW_KEYS, *features.BENCHMARK_FEATURES, "BLANPREAMT"]]
+
+
+def test_moments_are_plain_sums(spark, monkeypatch):
+    monkeypatch.delattr(moments_module.F, "covar_samp")
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 3)) + [1e6, -5.0, 0.0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(7)
+    found = moments_module.moments(df, {c: F.col(c) for c in "abc"})
+    assert found.count == 400 and found.means == pytest.approx(x.mean(axis=0))
+    assert found.covariance == pytest.approx(np.cov(x.T), rel=1e-7, abs=1e-8)
+    assert (moments_module.moments(df.limit(1), {"a": F.col("a")}).covariance == 0).all()
