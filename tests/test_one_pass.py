@@ -1,5 +1,7 @@
 """Work per row that must not come back: passes of the forest, wide rows to Python, methods that the JVM does not compile."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -59,6 +61,15 @@ def test_r2_lands_only_what_the_forest_reads(spark, monkeypatch):
     assert seen == [[*features.ROW_KEYS, *features.BENCHMARK_FEATURES, "BLANPREAMT"]]
 
 
+def test_a_draw_sends_only_hashes_to_python(spark, monkeypatch):
+    drawn = []
+    real = bagging.durable
+    monkeypatch.setattr(bagging, "durable", lambda df: drawn.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    bagging.fit_forest(_table(spark), ["a", "b"], "y", trees=4, depth=2, rate=0.05)
+    assert "MapInPandas" not in drawn[0]
+    assert re.search(r"drawn\((_h|xxhash64\()", drawn[0])
+
+
 def test_moments_are_plain_sums(spark, monkeypatch):
     monkeypatch.delattr(moments_module.F, "covar_samp")
     rng = np.random.default_rng(2)
