@@ -15,6 +15,7 @@ NA_TOKENS = [
 BLANK_TEXTS = ["nan", "None"]
 # Number texts; keeps suffixed literals such as '1d' out of the cast.
 NUMBER_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+_NUMBERS = "_numbers"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -32,10 +33,14 @@ def clean_text(c: Column) -> Column:
     return F.when(text.isNull() | text.isin(BLANK_TEXTS), "").otherwise(text)
 
 
+def _text_number(c: Column) -> Column:
+    text = strip(c)
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+
+
 def clean_number(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.coalesce(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")), F.lit(0.0))
+        return F.coalesce(_text_number(c), F.lit(0.0))
     return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
@@ -44,8 +49,14 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
+    """Numbers of known columns. Texts go through one expression over an array: a method of one rule per column is too long for the JVM to compile."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumns({c: clean_number(F.col(c), types[c]) for c in S.NUMBER_COLUMNS if c in types})
+    texts = [c for c in S.NUMBER_COLUMNS if isinstance(types.get(c), T.StringType)]
+    others = {c: clean_number(F.col(c), types[c]) for c in S.NUMBER_COLUMNS if c in types and c not in texts}
+    if not texts:
+        return df.withColumns(others)
+    numbers = F.transform(F.array(*[_text_number(F.col(c)) for c in texts]), lambda x: F.coalesce(x, F.lit(0.0)))
+    return df.withColumn(_NUMBERS, numbers).withColumns(others | {c: F.col(_NUMBERS)[i] for i, c in enumerate(texts)}).drop(_NUMBERS)
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskbridge import schema as S
 from riskbridge.functions import moments as moments_module
+from riskbridge.functions.columns import clean_numbers
 from riskbridge.operators import bagging, features, forests
 from riskbridge.plans import queries as plans
 
@@ -79,3 +81,17 @@ def test_moments_are_plain_sums(spark, monkeypatch):
     assert found.count == 400 and found.means == pytest.approx(x.mean(axis=0))
     assert found.covariance == pytest.approx(np.cov(x.T), rel=1e-7, abs=1e-8)
     assert (moments_module.moments(df.limit(1), {"a": F.col("a")}).covariance == 0).all()
+
+
+def test_number_rules_are_compiled(spark):
+    cols = [c for c in S.LOCATION_COLUMNS if c in S.NUMBER_COLUMNS]
+    texts = [" 12 ", "1d", "0x1p3", "1e3", ".5", "5.", "\x015", "-Inf", "nan", "1 2", None, "", "+7\t"]
+    df = spark.createDataFrame([[t] * len(cols) for t in texts], ", ".join(f"{c} string" for c in cols)).repartition(2)
+    out = clean_numbers(df)
+    want = [12.0, 0.0, 0.0, 1000.0, 0.5, 5.0, 0.0, -np.inf, 0.0, 0.0, 0.0, 0.0, 7.0]
+    for c in (cols[0], cols[-1]):
+        assert sorted(r[c] for r in out.select(c).collect()) == sorted(want)
+    assert out.columns == cols and sorted(r[cols[3]] for r in out.collect()) == sorted(want)
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(out._jdf.queryExecution().executedPlan()))
+    assert all(int(n) < 8000 for n in sizes)  # above, HotSpot interprets a method
