@@ -1,10 +1,28 @@
 """Written intermediate results, for plans that are read several times."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark deletes the shuffle files of a finished query at once, not when the driver's garbage collection gets to it.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def shared_dir(spark: SparkSession) -> str | None:
     """The shared folder named by spark.checkpoint.dir; None in a local session that names none."""
@@ -31,5 +49,6 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder}/riskbridge-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    with settings(spark, **DROP_SHUFFLES):  # what was written needs them no more
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
