@@ -37,12 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def durable(df: DataFrame, partition_by: list[str] | None = None, bucket_by: list[str] | None = None) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back.
 
     The result has no lineage to recompute, outlives lost executors, and keeps column pruning and
     filter pushdown for the passes that follow. A local session without such a folder keeps the rows
-    in Spark's own storage instead, with their lineage.
+    in Spark's own storage instead, with their lineage. With `bucket_by` rows lie in as many buckets of these columns as a shuffle has
+    partitions, so that joins and groups by them don't shuffle the rows again.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
@@ -50,5 +51,9 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder}/riskbridge-{uuid.uuid4().hex}"
     with settings(spark, **DROP_SHUFFLES):  # what was written needs them no more
+        if bucket_by:
+            name = f"riskbridge_{uuid.uuid4().hex}"
+            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *bucket_by).option("path", path).saveAsTable(name, format="parquet")
+            return spark.table(name)
         df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

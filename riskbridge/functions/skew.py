@@ -70,12 +70,16 @@ def hot_pairs(counts: DataFrame, on: list[str], left: str, right: str) -> DataFr
 
     `counts` has one row per key with both sides' numbers of rows. The budget of pairs is ``riskbridge.hotRows`` to
     the power 1.25 (3·10⁷ by default) or 1/10,000 of all pairs, whichever is larger, so there are at most MAX_HOT such
-    keys; a tile has about a budget of pairs.
+    keys; a tile has about a budget of pairs. Rows count as many pairs as make ``riskbridge.hotRows`` of them a budget, so that
+    a key with few pairs but many rows is cut up as well.
     """
     spark = counts.sparkSession
-    pairs = counts.select(*on, F.col(left).alias("_l"), F.col(right).alias("_r"), (F.col(left).cast("double") * F.col(right)).alias("_n"))
+    hot_rows = float(spark.conf.get("riskbridge.hotRows", "1000000"))
+    l, r = F.col(left).cast("double"), F.col(right).cast("double")
+    weight = F.greatest(l * r, (l + r) * hot_rows**0.25)
+    pairs = counts.select(*on, F.col(left).alias("_l"), F.col(right).alias("_r"), weight.alias("_n"))
     total = pairs.agg(F.sum("_n")).scalar()
-    budget = F.greatest(F.lit(float(spark.conf.get("riskbridge.hotRows", "1000000")) ** 1.25), total / F.lit(float(MAX_HOT)))
+    budget = F.greatest(F.lit(hot_rows**1.25), total / F.lit(float(MAX_HOT)))
     hot = pairs.withColumn("_tiles", F.col("_n") / budget).filter("_tiles > 1")
     # tiles as square as the sides allow
     side = F.ceil(F.sqrt(F.col("_tiles") * F.col("_l") / F.col("_r")))

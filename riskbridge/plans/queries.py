@@ -48,19 +48,21 @@ def _on_both(op: Callable[[DataFrame, DataFrame], DataFrame], account: str = "cu
 
 
 def _on_landed(
-    op: Callable[[DataFrame, DataFrame], DataFrame], of_loc: list[str] | None = None, of_pol: list[str] | None = None, period: str | None = None
+    op: Callable[[DataFrame, DataFrame], DataFrame], of_loc: list[str] | None = None, of_pol: list[str] | None = None, period: str | None = None,
+    bucketed: bool = False,
 ) -> Query:
     """For operators that read their inputs several times: the normalised tables are written first.
 
     Only the named columns beside the account's, and the rows of the period, if they are given: what an operator doesn't read
-    isn't written.
+    isn't written. `bucketed` lays out locations by account, for operators that join all their columns.
     """
 
-    def landed(rows: DataFrame, cols: list[str] | None) -> DataFrame:
+    def landed(rows: DataFrame, cols: list[str] | None, **layout: list[str]) -> DataFrame:
         rows = rows if period is None else rows.filter(F.col("PERIOD") == period)
-        return durable(rows if cols is None else rows.select(*S.ACCOUNT, *[c for c in cols if c not in S.ACCOUNT]))
+        return durable(rows if cols is None else rows.select(*S.ACCOUNT, *[c for c in cols if c not in S.ACCOUNT]), **layout)
 
-    return lambda spark, sf: op(landed(locations(spark, sf), of_loc), landed(policies(spark, sf), of_pol))
+    by_account = {"bucket_by": S.ACCOUNT} if bucketed else {}
+    return lambda spark, sf: op(landed(locations(spark, sf), of_loc, **by_account), landed(policies(spark, sf), of_pol))
 
 
 def _on_model_rows(
@@ -213,7 +215,7 @@ def queries() -> dict[str, Query]:
         "top_values_policies": _on_policies(profile.top_values),
         "merge_exposure": _on_landed(
             lambda l, p: merge.merge_exposure(l, p, digits={"RATE_ON_LINE_PCT": 6, "LIMIT_TO_TIV_RATIO": 6, "ACCOUNT_TIV": 4}),
-            S.MERGED_LOCATION_COLUMNS, S.MERGED_POLICY_COLUMNS,
+            S.MERGED_LOCATION_COLUMNS, S.MERGED_POLICY_COLUMNS, bucketed=True,
         ),
         "portfolio": _on_landed(lambda l, p: rounded(merge.portfolio(merge.merge_exposure(l, p)), 0, "TIV_TOTAL")),
         "account_sets": _on_both(merge.account_sets),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskbridge import schema as S
 from riskbridge.functions import durable as durable_module
 from riskbridge.functions.durable import durable
+from riskbridge.functions.skew import hot_pairs
 from riskbridge.plans import queries as q
 
 
@@ -45,3 +46,21 @@ def test_a_segment_without_rows(spark, shared, frame):
         again = q._csv_roundtrip(lambda spark, sf: kept, S.POLICY_COLUMNS)(spark, "")
         assert again.columns == kept.columns and rows_of(again) == rows_of(kept)
     assert rows_of(again) == [] and rows_of(rows.select(F.col("SEGMENT"))) == [(S.STANDARD,)] * 2
+
+
+def test_locations_are_not_shuffled_again(spark, shared):
+    """Locations are landed by account: only policies move for the join."""
+    with durable_module.settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        merged = q.queries()["merge_exposure"](spark, SF)
+        plan = merged._sc._jvm.PythonSQLUtils.explainString(merged._jdf.queryExecution(), "simple")
+    assert "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # policies, and their accounts' totals
+
+
+def test_an_account_of_many_locations_is_cut(spark, hot):
+    """Few pairs, but more rows than a task should hold."""
+    counts = spark.createDataFrame([("A", 9, 1), ("B", 1, 1)], "k string, l long, r long")
+    spark.conf.set("riskbridge.hotRows", "4")
+    assert [tuple(r) for r in hot_pairs(counts, ["k"], "l", "r").collect()] == [("A", 3, 1)]
+    spark.conf.set("riskbridge.hotRows", "16")
+    assert hot_pairs(counts, ["k"], "l", "r") is None
